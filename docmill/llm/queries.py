@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm.common import table
+from docmill.llm.common import cut, delete_path, scratch_path, table
 from docmill.llm.token_count import count_tokens
+from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -31,6 +32,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chunks")
 
 
+@_query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "tokens")
+    encoded = encode_documents(docs, _tokenizer("word_bpe_49k.json"), end_id=2)
+    write_tokens(encoded, docs, path, parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cut(digest(read_tokens(spark, path), wide=False).withColumnRenamed("id", "doc_id"))
+    delete_path(spark, path)
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return dict(_QUERIES)
