@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmill.llm.bpe import digests, encode_column
 from docmill.llm.common import cut, delete_path, scratch_path, table
 from docmill.llm.token_count import count_tokens
 from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
@@ -32,6 +33,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chunks")
 
 
+@_query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document by the 50k ranks, and the bytes that the ids decode to, as digests."""
+    import public_tokenizers
+
+    return digests(encode_column(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
