@@ -64,3 +64,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHAR
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
+
+
+def sample_labelled(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 1000) -> DataFrame:
+    """About ``per_label`` rows of each label (all, if fewer), chosen by a hash of the key, with their weight: rows a sampled row stands for.
+
+    The bound on a fit's training rows: ``per_label`` times the number of
+    labels, of which at most ``most_labels`` (the most frequent) are learned.
+    One aggregation by label; no row moves.
+    """
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    found = {r[0]: r.n for r in counts.orderBy(F.desc("n"), label).limit(most_labels).collect()}
+    if not found:
+        return rows.where("false").withColumn("weight", F.lit(1.0))
+    share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, per_label / n))])[F.col(label)]
+    at = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
+    return rows.where(F.col(label).isin(list(found))).where(at < share).withColumn("weight", 1 / share)

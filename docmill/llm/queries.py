@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmill.llm import language, toxicity
 from docmill.llm.bpe import digests, encode_column
-from docmill.llm.common import cut, delete_path, scratch_path, table
+from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
 from docmill.llm.token_count import count_tokens
 from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
 
@@ -41,6 +42,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_column(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document; learned from the labels outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = toxicity.score(docs, toxicity.fit(docs, known.where(crc_mod("doc_id", 5) != 0)))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
@@ -53,6 +63,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document; learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs.where(crc_mod("doc_id", 3) != 1)))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return dict(_QUERIES)
