@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docmill.llm import language, toxicity
 from docmill.llm.bpe import digests, encode_column
 from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
+from docmill.llm.embedding_dedup import links
 from docmill.llm.token_count import count_tokens
 from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
 
@@ -51,6 +52,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95 or more."""
+    return links(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
