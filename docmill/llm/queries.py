@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import language, toxicity
+from docmill.llm import ann, language, toxicity
 from docmill.llm.bpe import digests, encode_column
 from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
 from docmill.llm.embedding_dedup import links
@@ -58,6 +58,12 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+@_query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
