@@ -36,7 +36,14 @@ def _words(model: str) -> SegmentCache:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(model)
-        _CACHES[model] = SegmentCache(lambda new: [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)])
+
+        def encode(new: list[str]) -> list[np.ndarray]:
+            out: list[np.ndarray] = []
+            for lo in range(0, len(new), 4096):  # the library's results are large, so few at a time
+                out += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(new[lo : lo + 4096], add_special_tokens=False)]
+            return out
+
+        _CACHES[model] = SegmentCache(encode, 500_000)
     return _CACHES[model]
 
 
@@ -73,7 +80,7 @@ def encode_documents(docs: DataFrame, model: str, end_id: int | None = None, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _words(model)
         tail = b"" if end_id is None else np.array([end_id], dtype).tobytes()
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", 2_000_000):
             texts = pc.fill_null(b.column(1), "")
             if whole:
                 index, segments, bounds = np.arange(len(texts)), texts.to_pylist(), np.arange(len(texts) + 1)
