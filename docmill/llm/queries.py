@@ -10,6 +10,8 @@ from docmill.llm import ann, language, toxicity
 from docmill.llm.bpe import digests, encode_column
 from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
 from docmill.llm.embedding_dedup import links
+from docmill.llm.jaccard_join import join
+from docmill.llm.mixing import mix, n_words, weights
 from docmill.llm.token_count import count_tokens
 from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
 
@@ -64,6 +66,47 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+#: Parameters of the mix: share of the largest entropy, and how often a source may be repeated.
+MIX_ENTROPY, MIX_REPEATS = 0.985, 3.0
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken in a mix of the sources near equal weights."""
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", "source", n_words().alias("n_tokens"))
+    return mix(counted, F.col("n_tokens"), weights(counted, MIX_ENTROPY, MIX_REPEATS))
+
+
+_ORACLE["op7_mixing"] = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM documents),
+src AS MATERIALIZED (SELECT source, CAST(sum(n) AS DOUBLE) AS tokens FROM docs GROUP BY source HAVING sum(n) > 0),
+tot AS MATERIALIZED (SELECT sum(tokens) AS total, ln(CAST(count(*) AS DOUBLE)) * {MIX_ENTROPY} AS goal FROM src),
+shares AS MATERIALIZED (SELECT tokens / total AS s, goal FROM src, tot),
+entropy(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN h >= goal THEN mid ELSE lo END, CASE WHEN h >= goal THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, goal, ln(sum(pow(s, (lo + hi) / 2))) - sum(pow(s, (lo + hi) / 2) * (lo + hi) / 2 * ln(s)) / sum(pow(s, (lo + hi) / 2)) AS h
+        FROM entropy, shares WHERE i < 40 GROUP BY i, lo, hi, goal)),
+repeats(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN r > {MIX_REPEATS} THEN mid ELSE lo END, CASE WHEN r > {MIX_REPEATS} THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, max(pow(s, (lo + hi) / 2) / s) / sum(pow(s, (lo + hi) / 2)) AS r
+        FROM repeats, shares WHERE i < 40 GROUP BY i, lo, hi)),
+t AS (SELECT round(greatest(
+    (SELECT CASE WHEN -sum(s * ln(s)) >= max(goal) THEN 1 ELSE (SELECT (lo + hi) / 2 FROM entropy WHERE i = 40) END FROM shares),
+    (SELECT CASE WHEN max(1 / s) / count(*) <= {MIX_REPEATS} THEN 0 ELSE (SELECT (lo + hi) / 2 FROM repeats WHERE i = 40) END FROM shares)), 9) AS t),
+w AS (SELECT source, CAST(tokens AS BIGINT) AS tokens, round(pow(tokens / total, t) / sum(pow(tokens / total, t)) OVER (), 9) AS weight, total FROM src, tot, t),
+plan AS (SELECT source, tokens, CAST(floor(weight * total) AS BIGINT) AS budget FROM w),
+placed AS (SELECT doc_id, source, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('1:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs)
+SELECT d.doc_id, d.source, d.n AS n_tokens, CAST(coalesce(budget // tokens + CASE WHEN before < budget % tokens AND n > 0 THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies
+FROM placed d LEFT JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+"""
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
@@ -84,6 +127,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 4-word shingles at a Jaccard similarity of 0.85."""
+    return join(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return dict(_QUERIES)
