@@ -12,6 +12,7 @@ from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
 from docmill.llm.embedding_dedup import links
 from docmill.llm.jaccard_join import join
 from docmill.llm.mixing import mix, n_words, weights
+from docmill.llm.suffix_dedup import remove_repeats
 from docmill.llm.token_count import count_tokens
 from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
 
@@ -66,6 +67,13 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+@_query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every byte of a 200-byte string that starts elsewhere too, from all documents."""
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Parameters of the mix: share of the largest entropy, and how often a source may be repeated.
 MIX_ENTROPY, MIX_REPEATS = 0.985, 3.0
 
