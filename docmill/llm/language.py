@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docmill.llm.common import cut, sample_labelled, slices
 
@@ -134,29 +134,36 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)`` of every whole text; one narrow pass.
+def tag(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of docs and, of every whole text, its language and score; one narrow pass, nothing moves.
 
     A text that is null or has no letter, and any text without a model, is
     ``und`` with score 0. The score is the softmax of the labels' decision
-    values, so ties go to the first label in order.
+    values, so ties go to the first label in order. name and score must not be
+    columns of docs.
     """
+    columns = docs.columns
+    at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense() if model else None
-        for b in slices(batches, "t"):
-            texts = b.column(1).to_pylist()
+        for b in slices(batches, text_col):
+            texts = b.column(at).to_pylist()
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if model and has_letter(t)]
             if lettered:
-                k = model.kernel([texts[i] for i in lettered], dense)
-                f = _unit(k @ model.whiten) @ model.coefficients
+                f = _unit(model.kernel([texts[i] for i in lettered], dense) @ model.whiten) @ model.coefficients
                 p = np.exp(4 * (f - f.max(1, keepdims=True)))
                 p /= p.sum(1, keepdims=True)
                 for i, j, s in zip(lettered, p.argmax(1).tolist(), p.max(1).tolist()):
                     names[i], scores[i] = model.labels[j], s
-            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(scores)], ["i", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*columns, name, score])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"i {kind}, lang_pred string, score double").withColumnRenamed("i", id_col)
+
+def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, lang_pred, score)`` of every whole text, as tag gives them; other columns are not read."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return tag(rows, model, "_text").select(F.col("_id").alias(id_col), "lang_pred", "score")

@@ -289,8 +289,9 @@ def _repeats(x: list[bytes], offset: np.ndarray, run: np.ndarray, times: np.ndar
     return tuple(np.concatenate(c) if c else none for c in (rows, begins, stops))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and ``(n_bytes, n_removed, n_spans, kept)``; kept holds the remaining bytes.
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All columns of docs, and ``(n_bytes, n_removed, n_spans, kept)``; kept holds the remaining bytes,
+    or with as_text what of them is whole characters, as a string.
 
     Every byte covered by a string of ``length`` bytes that also starts
     elsewhere, in the same text or another, is removed; strings are judged on
@@ -318,11 +319,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                         gone += s["stop"] - at
                         at = s["stop"]
                 out.append(t[at:])
-                kept.append(b"".join(out))
+                kept.append(b"".join(out).decode("utf-8", "ignore") if as_text else b"".join(out))
                 removed.append(gone)
                 n_spans.append(n)
                 sizes.append(len(t))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return joined.mapInArrow(strip, schema)
