@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -30,20 +31,62 @@ from docmill.llm.segments import SegmentCache, split_spaces
 _CACHES: dict[str, SegmentCache] = {}
 
 
-def _words(model: str) -> SegmentCache:
-    if model not in _CACHES:
+#: Words of Latin letters only (but for the one whose lower case is two characters), and the punctuation that may follow.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ž]+)([.,;:!?|]*)")
+
+
+class _Words:
+    """Encodes segments by the library, plain words many at a time.
+
+    A plain word is one match of the pre-tokenizer, whose last token alone has
+    the end-of-word suffix; so the ids of many words, encoded as one text, can
+    be told apart. Punctuation after it is a match of its own.
+    """
+
+    def __init__(self, model: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(model)
+        self.library = Tokenizer.from_file(model)
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        self.joins = bool(suffix) and splits_at_spaces(model)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the library's results are large, so few at a time."""
+        out: list[np.ndarray] = []
+        for lo in range(0, len(texts), 4096):
+            out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+        return out
+
+    def plain(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of plain words."""
+        out: list[np.ndarray] = []
+        for lo in range(0, len(words), 8000):
+            block = words[lo : lo + 8000]
+            ids = np.concatenate(self.each([" ".join(block[k : k + 200]) for k in range(0, len(block), 200)]))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            assert len(stops) == len(block), "each plain word ends with one end-of-word token"
+            out += np.split(ids, stops[:-1])
+        return out
+
+    def __call__(self, segments: list[str]) -> list[np.ndarray]:
+        """The ids of each segment."""
+        if not self.joins:
+            return self.each(segments)
+        cut = [_PLAIN.fullmatch(s) for s in segments]
+        words = {m[1]: None for m in cut if m}
+        words = dict(zip(words, self.plain(list(words)))) if words else {}
+        rest = list({m[2]: None for m in cut if m and m[2]} | {s: None for s, m in zip(segments, cut) if not m})
+        rest = dict(zip(rest, self.each(rest)))
+        return [rest[s] if not m else np.concatenate([words[m[1]], rest[m[2]]]) if m[2] else words[m[1]] for s, m in zip(segments, cut)]
 
-        def encode(new: list[str]) -> list[np.ndarray]:
-            out: list[np.ndarray] = []
-            for lo in range(0, len(new), 4096):  # the library's results are large, so few at a time
-                out += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(new[lo : lo + 4096], add_special_tokens=False)]
-            return out
 
-        _CACHES[model] = SegmentCache(encode, 500_000)
+def _words(model: str) -> SegmentCache:
+    if model not in _CACHES:
+        _CACHES[model] = SegmentCache(_Words(model), 500_000)
     return _CACHES[model]
 
 

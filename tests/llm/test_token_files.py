@@ -1,5 +1,6 @@
 """Token files: exact round trip against the tokenizers library."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,12 +9,19 @@ import pytest
 from tokenizers import Tokenizer
 
 from docmill.llm.common import scratch_path
-from docmill.llm.token_files import digest, encode_documents, read_tokens, splits_at_spaces, write_tokens
+from docmill.llm.token_files import _Words, digest, encode_documents, read_tokens, splits_at_spaces, write_tokens
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "Hello  wörld's  end", " \n\t x  ", "A<|endoftext|>B <|startoftext|> é É", "ΣΑΣ Σ", "a b　c", "日本 ́x 12345", "long " * 40_000]
 
 
+def test_words_many_at_a_time():
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeéüßıĳOAÉ") for _ in range(r.randrange(1, 12))) + r.choice(["", "", ".", ",!?", "|", "'s", "5", "İ"]) for _ in range(3000)]
+    tok = Tokenizer.from_file(MODEL)
+    assert [x.tolist() for x in _Words(MODEL)(words)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_splits():
     assert splits_at_spaces(MODEL)
 
