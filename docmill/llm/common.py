@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about as many bytes of text at most; no text is cut."""
     import numpy as np

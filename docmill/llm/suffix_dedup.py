@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import cut, groups, slices
+from docmill.llm.common import cut, free, groups, slices
 from docmill.llm.shingles import _powers, mix
 
 #: Bytes by which suffixes are named and first compared.
@@ -157,7 +157,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     several = named.groupBy("gram").agg(F.count("*").alias("c"), F.min("reach").alias("r1"), F.max("reach").alias("r2")).where("c > 1")
     several = several.select("gram", (F.col("r1") != F.col("r2")).alias("mixed"))
     shared = cut(named.drop("lead").join(several, "gram"))
-    _free(spark)
+    free(spark)
     reaches = shared.groupBy("gram", "reach", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo", "n", "offset")).alias("m"))
     settled = shared.join(reaches.where("c > 1").select("gram", "reach"), ["gram", "reach"], "left_semi")
     settled = settled.select("id", "th", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column(4).to_numpy(), side="right").astype(np.int32)), *b.columns], names=["bucket", *b.schema.names])
 
     placed = cut(texts.mapInArrow(place, f"bucket int, id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary"))
-    _free(spark)
+    free(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 2):
@@ -225,11 +225,6 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return every.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "stop"))).alias("spans"))
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of what is checkpointed by now."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _splitters(rows: DataFrame, length: int, name, kind: str, parts: int, sample: int = 4_000) -> list[int]:
     """Cut points of the suffixes' first 8 bytes, from about ``sample`` texts chosen by a hash."""
     n = rows.where(F.length("t") >= length).count()
