@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of text that one Python batch holds at most (one longer text makes a batch alone).
 BATCH_CHARS = 4_000_000
@@ -53,6 +53,33 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def key_bits(keys: DataFrame, hashed: Column):
+    """A broadcast table of 2^24 bits (2 MB, whatever the number of keys) with those of the keys' 64-bit hashes set."""
+    import numpy as np
+
+    rows = keys.select(hashed.alias("h")).groupBy(F.shiftrightunsigned("h", 46).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).collect()
+    bits = np.zeros(1 << 18, np.int64)
+    for r in rows:
+        bits[r.w] = r.b
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def marked(rows: DataFrame, hashed: Column, bits, wanted: bool = True) -> DataFrame:
+    """Rows whose key's bit is set (or isn't): all rows of those keys and few others, so that the rest need not move."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        table = np.frombuffer(bits.value, np.uint64)
+        for b in batches:
+            h = b.column(len(columns)).to_numpy().view(np.uint64)
+            hit = ((table[(h >> np.uint64(46)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+            yield b.select(columns).filter(pa.array(hit == wanted))
+
+    return rows.withColumn("_hashed", hashed).mapInArrow(run, rows.schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about as many bytes of text at most; no text is cut."""
     import numpy as np

@@ -26,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import cut, free, groups, slices
+from docmill.llm.common import cut, free, groups, key_bits, marked, slices
 from docmill.llm.shingles import _powers, mix
 
 #: Bytes by which suffixes are named and first compared.
@@ -133,7 +134,7 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, th, spans)``: the covered byte spans, as ``(start, stop)`` windows' unions, of texts that have some.
+    """``(id, th, spans)``: the maximal covered byte spans ``(lo, stop)`` of texts that have some.
 
     th is the text's xxhash64, which keeps apart rows that share an id; rows
     that are equal in both repeat each other. A null text is empty.
@@ -145,7 +146,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), text.alias("t"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", 2_000_000):
+        for b in slices(batches, "t", 750_000):
             pieces, text, base = _pieces(b.column(2).to_pylist(), length, longest)
             piece, lo, count, offset, gram, reach, lead = named_suffixes(pieces, length)
             at = text[piece]
@@ -167,7 +168,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     meet = meet.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "offset", "gram", "times", "size")).alias("s"))
 
     def reach_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", 2_000_000):
+        for b in slices(batches, "t", 750_000):
             out: list[list] = [[] for _ in range(8)]
             for i, th, t, each in zip(*(b.column(k).to_pylist() for k in range(4))):
                 for s in each:
@@ -179,7 +180,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.bool_()), pa.array(out[7], pa.binary())], names=["id", "th", "lo", "offset", "lead", "times", "hot", "x"])
 
     cuts = _splitters(rows, length, name, kind, parts)
-    texts = rows.join(meet, ["id", "th"]).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary")
+    meet = cut(meet)
+    free(spark)
+    key = F.xxhash64("id", "th")
+    texts = marked(rows, key, key_bits(meet, key)).join(meet, ["id", "th"]).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(cuts, np.int64)
@@ -222,7 +226,22 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     twice = hot.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     melted = hot.where("times = 1").join(twice, "h", "left_semi").select("id", "th", "lo", (F.col("lo") + length).alias("stop"))
     every = settled.unionByName(found).unionByName(melted)
-    return every.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "stop"))).alias("spans"))
+    every = every.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "stop"))).alias("s"))
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = []
+            for each in b.column(2).to_pylist():
+                merged: list[dict] = []
+                for s in each:
+                    if merged and s["lo"] <= merged[-1]["stop"]:
+                        merged[-1]["stop"] = max(merged[-1]["stop"], s["stop"])
+                    else:
+                        merged.append(s)
+                lists.append(merged)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.struct([("lo", pa.int64()), ("stop", pa.int64())])))], names=["id", "th", "spans"])
+
+    return every.mapInArrow(union, f"id {kind}, th long, spans array<struct<lo: long, stop: long>>")
 
 
 def _splitters(rows: DataFrame, length: int, name, kind: str, parts: int, sample: int = 4_000) -> list[int]:
@@ -276,7 +295,7 @@ def _repeats(x: list[bytes], offset: np.ndarray, run: np.ndarray, times: np.ndar
         if hi - lo > 1:
             block.extend(range(lo, hi))
             held += sum(len(x[i]) for i in range(lo, hi))
-            if held > 2_000_000:
+            if held > 500_000:
                 flush()
                 held = 0
     flush()
@@ -293,26 +312,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     the input. A null text is the empty one; shorter texts stay whole; equal
     rows repeat each other. New columns must not clash with those of docs.
     """
-    spans = repeated_spans(docs, length, id_col, text_col).withColumnsRenamed({"id": "_id", "th": "_th", "spans": "_spans"})
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("_own", own).join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left")
+    spans = cut(repeated_spans(docs, length, id_col, text_col))
+    free(docs.sparkSession)
     columns = docs.columns
-    joined = joined.select(*columns, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t"), F.col("_spans"))
+    own = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.xxhash64(F.col(id_col), F.col("_own"))
+    bits = key_bits(spans, F.xxhash64("id", "th"))  # texts that have no spans need not move
+    found = spans.withColumnsRenamed({"id": "_id", "th": "_th", "spans": "_spans"})
+    moved = marked(own, key, bits).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left")
+    stay = marked(own, key, bits, wanted=False).withColumn("_spans", F.lit(None).cast(spans.schema["spans"].dataType))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_t", 4_000_000):
+        for b in slices(batches, text_col, 750_000):
             kept, removed, n_spans, sizes = [], [], [], []
-            for t, each in zip(b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()):
-                out, at, gone, n = [], 0, 0, 0
+            texts = pc.cast(pc.fill_null(b.column(columns.index(text_col)), ""), pa.binary())
+            for t, each in zip(texts, b.column(len(columns)).to_pylist()):
+                t, out, at, gone, n = t.as_py(), [], 0, 0, len(each or ())
                 for s in each or ():
-                    if s["lo"] > at or not n:
-                        out.append(t[at : s["lo"]])
-                        n += 1
-                        gone += s["stop"] - s["lo"]
-                        at = s["stop"]
-                    elif s["stop"] > at:
-                        gone += s["stop"] - at
-                        at = s["stop"]
+                    out.append(t[at : s["lo"]])
+                    gone += s["stop"] - s["lo"]
+                    at = s["stop"]
                 out.append(t[at:])
                 kept.append(b"".join(out).decode("utf-8", "ignore") if as_text else b"".join(out))
                 removed.append(gone)
@@ -321,4 +340,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    return joined.mapInArrow(strip, schema)
+    every = moved.select(*columns, "_spans").unionByName(stay.select(*columns, "_spans"))
+    return every.mapInArrow(strip, schema)
