@@ -17,7 +17,7 @@ from docmill.llm.segments import SegmentCache, split_spaces
 #: Words of more bytes are merged by a heap: the recursive query has a row for each byte and step.
 LONG_WORD = 256
 #: Words that one recursive query encodes.
-WORDS_A_QUERY = 60_000
+WORDS_A_QUERY = 20_000
 
 #: One row a token: key = word * 4096 + byte position, id. Each step joins the
 #: neighbouring pairs with the merge table and contracts every word's leftmost
@@ -57,12 +57,12 @@ class ByteBpe:
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": True})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], r) for w, r in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         self._table("merges", left_id=[m[0] for m in merges], right_id=[m[1] for m in merges], rank=[m[2] for m in merges])
         self._table("vocabulary", id=list(self.ranks.values()), hex=[w.hex() for w in self.ranks])
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache = SegmentCache(self.encode_segments, 1_200_000)
+        self.cache = SegmentCache(self.encode_segments, 500_000)
 
     def _table(self, name: str, **columns: list) -> None:
         data = pa.table({k: pa.array(v, pa.string() if k == "hex" else pa.int32()) for k, v in columns.items()})
@@ -189,7 +189,7 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(rank_file, pattern)
-        for b in slices(batches, "t", 2_000_000):
+        for b in slices(batches, "t", 1_000_000):
             ids, bounds = c.encode(pc.fill_null(b.column(1), ""))
             parts = [ids[lo:hi].astype("<u4").tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch([b.column(0), pa.array(parts, pa.binary()), pa.array(c.decode(ids, bounds), pa.binary())], ["i", "ids", "decoded"])

@@ -14,6 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BATCH_CHARS = 4_000_000
 
 
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system, where the C library can."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,6 +105,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHAR
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield b.slice(lo, hi - lo)
+        del b
+        give_back()
 
 
 def crc_mod(col, n: int):

@@ -24,7 +24,7 @@ BITS = 1 << 15
 #: Lengths of the n-grams.
 LENGTHS = (1, 2, 3, 4)
 #: Rows of a matrix product.
-ROWS = 256
+ROWS = 128
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -147,7 +147,7 @@ def tag(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense() if model else None
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 1_000_000):
             texts = b.column(at).to_pylist()
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if model and has_letter(t)]
