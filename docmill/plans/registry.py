@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.plans.proxies import Loader
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 
@@ -24,11 +26,27 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
+def query(name: str, oracle: str | None = None):
+    """Decorator: registers fn(t), t being the loader of the test tables and entity views."""
+    def put(fn):
+        register(name, oracle)(lambda spark, sf_dir: fn(Loader(spark, sf_dir)))
+        return fn
+
+    return put
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries by name."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The oracle SQL of those queries that have one."""
+    _load()
     return dict(_ORACLE)
+
+
+def _load() -> None:
+    """Imports the modules that register queries."""
+    from docmill.plans import access_queries, analytics_queries, document_queries, relational_queries, scalar_queries  # noqa: F401
