@@ -86,7 +86,7 @@ class _Words:
 
 def _words(model: str) -> SegmentCache:
     if model not in _CACHES:
-        _CACHES[model] = SegmentCache(_Words(model), 500_000)
+        _CACHES[model] = SegmentCache(_Words(model), 900_000)
     return _CACHES[model]
 
 
