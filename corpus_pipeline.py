@@ -6,6 +6,8 @@ before kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +18,8 @@ from docmill.llm.jaccard_join import join
 from docmill.llm.mixing import mix, n_words, weights
 from docmill.llm.suffix_dedup import remove_repeats
 
+#: What stages know of documents; other columns come along.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle and similarity, in per cent, of near duplicates.
 WORDS, PERCENT = 5, 80
 #: Bytes of a repeated passage.
@@ -24,18 +28,33 @@ PASSAGE = 200
 ENTROPY, REPEATS = 0.985, 3.0
 
 
+def keeps_columns(stage):
+    """A stage that sees the columns of documents under their names and all others under names of its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        inner = [c if c in COLUMNS else f"docmill_extra_{i}" for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*inner), sf_dir).select(inner).toDF(*names)
+
+    return run
+
+
+@keeps_columns
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no language: null ones and those without a letter. The language found replaces a null lang."""
     tagged = language.tag(docs, language.fit(docs), name="_lang", score="_score").where(F.col("_lang") != "und")
     return tagged.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 
+@keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (connected links) the document of the smallest id stays, once."""
     kept = join(docs, WORDS, PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
+@keeps_columns
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the bytes of repeated passages (and what they leave of a character); a document of which nothing is left goes."""
     out = remove_repeats(docs, PASSAGE, as_text=True).where((F.col("kept") != "") | (F.col("n_removed") == 0))
@@ -43,6 +62,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(docs.columns)
 
 
+@keeps_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mixture says: rows of a source above its budget go, others repeat."""
     counted = docs.select("doc_id", "source", n_words().alias("n"))

@@ -89,7 +89,7 @@ def marked(rows: DataFrame, hashed: Column, bits, wanted: bool = True) -> DataFr
             hit = ((table[(h >> np.uint64(46)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
             yield b.select(columns).filter(pa.array(hit == wanted))
 
-    return rows.withColumn("_hashed", hashed).mapInArrow(run, rows.schema)
+    return rows.withColumn("_docmill_hashed", hashed).mapInArrow(run, rows.schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:

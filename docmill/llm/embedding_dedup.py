@@ -108,12 +108,12 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
     compared once, with their number as a weight. A bucket of many vectors is
     dealt out as pairs of blocks, each a task's group of its own, whose result
     is two numbers a vector. Vectors that are null, zero or hold null or
-    non-finite components link with nothing, and vectors of different length
-    do not link. Rows with one id are rows of their own to n_links. Other
+    non-finite components, and rows without an id, link with nothing; vectors of
+    different length do not link. Rows with one id are rows of their own to n_links. Other
     columns are not read.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("ok", valid("v"))
+    rows = rows.withColumn("ok", valid("v") & F.col("id").isNotNull())
     keyed = rows.where("ok").withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.reverse("v"), F.lit(1)))
     reps = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "v")).alias("m"), F.count("*").alias("copies")).select(F.col("m.id").alias("rep"), F.col("m.v").alias("v"), "copies", "k1", "k2")
     reps = cut(reps)

@@ -139,9 +139,10 @@ def tag(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", na
 
     A text that is null or has no letter, and any text without a model, is
     ``und`` with score 0. The score is the softmax of the labels' decision
-    values, so ties go to the first label in order. name and score must not be
-    columns of docs.
+    values, so ties go to the first label in order. Columns of docs that are named like
+    a new one give way.
     """
+    docs = docs.drop(name, score)
     columns = docs.columns
     at = columns.index(text_col)
 

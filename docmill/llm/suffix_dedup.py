@@ -310,17 +310,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     Every byte covered by a string of ``length`` bytes that also starts
     elsewhere, in the same text or another, is removed; strings are judged on
     the input. A null text is the empty one; shorter texts stay whole; equal
-    rows repeat each other. New columns must not clash with those of docs.
+    rows repeat each other. Columns of docs that are named like a new one give way.
     """
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     spans = cut(repeated_spans(docs, length, id_col, text_col))
     free(docs.sparkSession)
     columns = docs.columns
-    own = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    key = F.xxhash64(F.col(id_col), F.col("_own"))
+    own = docs.withColumn("_docmill_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.xxhash64(F.col(id_col), F.col("_docmill_own"))
     bits = key_bits(spans, F.xxhash64("id", "th"))  # texts that have no spans need not move
-    found = spans.withColumnsRenamed({"id": "_id", "th": "_th", "spans": "_spans"})
-    moved = marked(own, key, bits).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left")
-    stay = marked(own, key, bits, wanted=False).withColumn("_spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    found = spans.withColumnsRenamed({"id": "_docmill_id", "th": "_docmill_th", "spans": "_docmill_spans"})
+    moved = marked(own, key, bits).join(found, F.col(id_col).eqNullSafe(F.col("_docmill_id")) & (F.col("_docmill_own") == F.col("_docmill_th")), "left")
+    stay = marked(own, key, bits, wanted=False).withColumn("_docmill_spans", F.lit(None).cast(spans.schema["spans"].dataType))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, 750_000):
@@ -340,5 +341,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    every = moved.select(*columns, "_spans").unionByName(stay.select(*columns, "_spans"))
+    every = moved.select(*columns, "_docmill_spans").unionByName(stay.select(*columns, "_docmill_spans"))
     return every.mapInArrow(strip, schema)

@@ -103,6 +103,17 @@ def test_equals_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == _brute(rows)
 
 
+def test_clashing_columns_nulls_and_repeats(spark):
+    text = "some words that stay " * 3
+    rows = [(1, text, "en", "a", len(text), 7, "k", 1), (1, text, "en", "a", len(text), 7, "k", 1), (None, "other words here", None, None, None, None, None, None), (3, "x " * 60_000, "en", "b", 120_000, 1, "k", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, _lang string, copies int")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        if name != "byte_bpe":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "_lang", "copies"]
+    assert docs.count() > 0
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
