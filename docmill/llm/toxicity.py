@@ -33,6 +33,8 @@ SEED_EXCEPTIONS = ("trash can", "trash bin", "trash bag", "pond scum", "soap scu
 LOOKALIKES = dict(zip("авеёзикмнорстухіјѕԁһԛԝαβεικνορτυχγω", "abeezukmhopctyxijsdhqwabeiknoptuxyw")) | dict(zip("0134578@$€£ı", "oleastbaseli"))
 #: Length of the beginnings of words that may be learned.
 BEGINNINGS = range(4, 9)
+#: Log-odds below which a word or beginning is not learned.
+LEAST_ODDS = 2.5
 INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 _TABLE = str.maketrans(LOOKALIKES) | INVISIBLE | {ord("1"): "i"}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -69,8 +71,8 @@ class ToxicityModel:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
-    def hits(self, folded: str) -> Iterator[tuple[float, str, str]]:
-        """Of each matched word: its weight, the phrase with the word before, and that with the word after."""
+    def hits(self, folded: str) -> Iterator[tuple[float, str, str, str]]:
+        """Of each matched word: its weight, the word, the phrase with the word before, and that with the word after."""
         if not self.weights:
             return
         best: dict[int, float] = {}
@@ -82,12 +84,13 @@ class ToxicityModel:
             stop = folded.index(" ", at + 1)
             before = folded.rfind(" ", 0, at) if at else -1
             after = folded.find(" ", stop + 1)
-            yield w, folded[before + 1 : stop] if before >= 0 else "", folded[at + 1 : after] if after > 0 else ""
+            yield w, folded[at + 1 : stop], folded[before + 1 : stop] if before >= 0 else "", folded[at + 1 : after] if after > 0 else ""
 
     def features(self, text: str | None) -> list[float]:
         """Constant, weighted matches (log), their rate by length (log), length (log)."""
         folded = fold(text or "")
-        total = sum(w for w, b, a in self.hits(folded) if b not in self.exceptions and a not in self.exceptions)
+        counts: Counter = Counter((word, w) for w, word, b, a in self.hits(folded) if b not in self.exceptions and a not in self.exceptions)
+        total = sum(w * (1 + math.log(n)) for (_, w), n in counts.items())  # a word said again counts less
         words = folded.count(" ") - 1
         return [1.0, math.log1p(total), math.log1p(100 * total / (words + 10)), math.log1p(words) / 10]
 
@@ -134,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
     counts = sample.mapInArrow(count, "e string, d0 long, d1 long").groupBy("e").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
     odds = F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1))
-    rare = counts.where(F.col("d1") >= 3).withColumn("odds", odds).where("odds > 1.5")
+    rare = counts.where(F.col("d1") >= 3).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS)
     found = rare.orderBy(F.desc(F.col("d1") * F.col("odds")), "e").limit(most_entries).collect()
     kept: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (len(r.e), r.e)):
@@ -149,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         for b in slices(batches, "t"):
             got: Counter = Counter()
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got.update({(p, y) for _, before, after in model.hits(fold(t or "")) for p in (before, after) if p})
+                got.update({(p, y) for _, _, before, after in model.hits(fold(t or "")) for p in (before, after) if p})
             yield pa.record_batch([pa.array([p for p, _ in got], pa.string()), pa.array([n * (y == 0) for (_, y), n in got.items()], pa.int64()), pa.array([n * (y == 1) for (_, y), n in got.items()], pa.int64())], ["p", "d0", "d1"])
 
     pairs = sample.mapInArrow(phrases, "p string, d0 long, d1 long").groupBy("p").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
