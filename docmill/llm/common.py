@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of text that one Python batch holds at most (one longer text makes a batch alone).
 BATCH_CHARS = 4_000_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 pa.set_memory_pool(pa.system_memory_pool())
@@ -54,9 +55,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; Spark deletes it when nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage by a checkpoint in the shared folder; Spark deletes it when nothing refers to it.
+
+    Its Arrow batches have few rows, as rows hold whole texts.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, min(int(before), 2_000) if int(before) > 0 else 2_000)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
 
 
 def free(spark: SparkSession) -> None:
