@@ -156,15 +156,17 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     named = rows.where(F.length("t") >= length).mapInArrow(name, f"id {kind}, th long, lo long, n int, offset int, gram long, reach long, lead long")
     several = named.groupBy("gram").agg(F.count("*").alias("c"), F.min("reach").alias("r1"), F.max("reach").alias("r2")).where("c > 1")
-    several = several.select("gram", (F.col("r1") != F.col("r2")).alias("mixed"))
+    several = cut(several.select("gram", (F.col("r1") != F.col("r2")).alias("mixed")))  # as a table, so that the join's hot grams are split
+    free(spark)
     shared = cut(named.drop("lead").join(several, "gram"))
     free(spark)
     reaches = shared.groupBy("gram", "reach", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo", "n", "offset")).alias("m"))
+    reaches = cut(reaches)
     settled = shared.join(reaches.where("c > 1").select("gram", "reach"), ["gram", "reach"], "left_semi")
     settled = settled.select("id", "th", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
     open_ = reaches.where("mixed")
-    size = open_.groupBy("gram").agg(F.count("*").alias("size"), F.min("c").alias("least")).where("least = 1 and size > 1")
-    meet = open_.join(size.drop("least"), "gram").select("gram", F.col("c").alias("times"), "size", "m.*")
+    size = open_.groupBy("gram").agg(F.count("*").alias("size"), F.min("c").alias("least")).where("least = 1 and size > 1").drop("least")
+    meet = open_.join(cut(size), "gram").select("gram", F.col("c").alias("times"), "size", "m.*")
     meet = meet.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "offset", "gram", "times", "size")).alias("s"))
 
     def reach_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
