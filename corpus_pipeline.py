@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmill.llm import language
 from docmill.llm.bpe import digests, encode_column
@@ -49,9 +49,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (connected links) the document of the smallest id stays, once."""
-    kept = join(docs, WORDS, PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near duplicates (connected links) the document of the smallest id stays, once.
+
+    Rows are told apart by id and text: texts that share an id are documents of
+    their own, and a row without an id stays where no other row covers it. Ids
+    come before none. A wordless row without an id is covered by nothing.
+    """
+    lone = F.col("doc_id").isNull() & (n_words() == 0)
+    keyed = docs.where(~lone).withColumn("_key", F.xxhash64("doc_id", "text"))
+    none = F.lit(None).cast("long")
+    found = join(keyed, WORDS, PERCENT, id_col="_key").select("_key", "component_id", none.alias("doc_id"))
+    rows = found.unionByName(keyed.select("_key", none.alias("component_id"), "doc_id"))
+    rows = rows.groupBy("_key").agg(F.max("component_id").alias("component_id"), F.max("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    kept = rows.groupBy("component_id").agg(first.alias("m")).select("m._key")
+    kept = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return kept.unionByName(docs.where(lone))
 
 
 @keeps_columns
@@ -64,12 +77,26 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @keeps_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document as often as the mixture says: rows of a source above its budget go, others repeat."""
-    counted = docs.select("doc_id", "source", n_words().alias("n"))
+    """Takes every document as often as the mixture says: rows of a source above its budget go, others repeat.
+
+    Every row counts on its own, also one without an id or with another's id;
+    rows equal in id, source and text are dealt the copies of all of them. Rows
+    without an id are ordered by their text.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    counted = keyed.select(id_.alias("_id"), "source", "_key", n_words().alias("n"))
     plan = weights(counted.withColumnRenamed("n", "n_tokens"), ENTROPY, REPEATS)
-    copies = mix(counted, F.col("n"), plan).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(copies, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return joined.select(docs.columns)
+    each = mix(counted, F.col("n"), plan, id_col="_id", ties=("_key",)).groupBy("_key").agg(F.sum("copies").alias("sum"), F.count("*").alias("rows"))
+    each = cut(each.where("sum > 0").select("_key", F.expr("sum div rows").alias("_copies"), F.expr("sum % rows").alias("_more")))
+    joined = keyed.join(each, "_key")
+    taken = joined.where("_more = 0")
+    torn = [r[0] for r in each.where("_more > 0").select("_key").collect()]  # one for each source at most: equal rows that its budget ends among
+    if torn:
+        nth = F.row_number().over(Window.partitionBy("_key").orderBy("lang", "n_chars"))
+        some = joined.where(F.col("_key").isin(torn)).withColumn("_copies", F.col("_copies") + (nth <= F.col("_more")).cast("long"))
+        taken = taken.unionByName(some.where("_copies > 0"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def weights(tokens: DataFrame, target_entropy: float | None = None, most_repeats
     return flat.select(F.col("r.source").alias("source"), F.col("r.tokens").cast("long").alias("tokens"), "weight", F.floor(F.col("weight") * F.col("total") * budget_share).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 1, ties: tuple[str, ...] = ()) -> DataFrame:
     """``(id, source, n_tokens, copies)``: how often each document is taken.
 
     Of a source with budget B and T tokens, every document is taken in floor(B /
@@ -89,9 +89,10 @@ def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "d
     so that a source with any share of all rows is dealt to as many tasks as it
     has ranges. Documents without tokens go with the whole blocks alone.
     Repeated rows are documents of their own, each with its row's result (the
-    order of equal ids among each other is free).
+    order of equal ids among each other is free, or by the columns ``ties``,
+    which then come along).
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_tokens.alias("n"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_tokens.alias("n"), *ties)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
     counted = rows.groupBy("source").agg(F.count("*").alias("docs"))
     rows = rows.withColumn("key", key).withColumn("at", F.conv(F.substring("key", 1, 7), 16, 10).cast("long"))
@@ -101,13 +102,13 @@ def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "d
     same = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "range").agg(F.sum("n").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(same), F.lit(0)))
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), "before")
-    within = Window.partitionBy("source", "range").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "id", *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & F.col("range").eqNullSafe(F.col("r")), "left")
     whole = F.expr("budget div tokens")
     more = (F.col("before") + F.col("inside") < F.expr("budget % tokens")) & (F.col("n") > 0)
     copies = F.coalesce(whole + F.when(more, 1).otherwise(0), F.lit(0)).cast("long")
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("n").alias("n_tokens"), copies.alias("copies"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("n").alias("n_tokens"), copies.alias("copies"), *ties)
 
 
 def blocks(mixed: DataFrame, id_col: str = "doc_id", seed: int = 1) -> DataFrame:

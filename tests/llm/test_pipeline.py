@@ -9,8 +9,10 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docmill.llm.mixing import n_words, weights
 
 
 def _made(seed=6):
@@ -117,3 +119,35 @@ def test_clashing_columns_nulls_and_repeats(spark):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def _unlike(n):
+    return " ".join(f"{chr(97 + n)}{k}w" for k in range(20))
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
+    a, b, c, d, e, f = map(_unlike, range(6))
+    rows = [(None, a), (None, a + " more"), (None, b), (None, c), (5, c), (6, c), (7, d), (7, e), (8, f), (8, f), (None, ""), (None, None), (None, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    firsts = [k for k in got if k[1] in (a, a + " more")]
+    assert len(firsts) == 1 and got.pop(firsts[0]) == 1  # of near copies without an id, one
+    assert got == Counter([(None, b), (5, c), (7, d), (7, e), (8, f), (None, ""), (None, None), (None, None), (9, None)])
+
+
+def test_every_row_is_mixed_on_its_own(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "x y", "s")] * 3 + [(1, "z", "s"), (None, "u v w", "s"), (None, "u v w", "s"), (None, "other", "s"), (2, "x y", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert got == Counter(rows)  # one source: its budget is all its tokens
+    rows = [(1, "x y z", "a")] * 40 + [(None, "x y z", "a")] * 40 + [(1, "x", "b")] * 7 + [(k, "x y", "b") for k in range(9)] + [(None, "x y", None)] * 5
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    counted = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "source", n_words().alias("n_tokens"))
+    plan = {p.source: p for p in weights(counted, corpus_pipeline.ENTROPY, corpus_pipeline.REPEATS).collect()}
+    for source, size in (("a", 3), (None, 2)):  # texts of one length: the copies follow from the budget
+        whole, rest = divmod(plan[source].budget, plan[source].tokens)
+        n = sum(1 for r in rows if r[2] == source)
+        assert sum(k for r, k in got.items() if r[2] == source) == n * whole + -(-rest // size)
+    assert set(got) == {r for r in rows if r[2] != "a"} | {r for r in got if r[2] == "a"}
