@@ -42,8 +42,15 @@ def keeps_columns(stage):
 
 @keeps_columns
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no language: null ones and those without a letter. The language found replaces a null lang."""
-    tagged = language.tag(docs, language.fit(docs), name="_lang", score="_score").where(F.col("_lang") != "und")
+    """Rejects texts of no language: null ones and those without a letter. The language found replaces a null lang.
+
+    The letter test alone rejects; the classifier only names. Where no row has a
+    lang, nothing can be learned and lang stays null.
+    """
+    model = language.fit(docs)
+    if model is None:
+        return language.lettered(docs)
+    tagged = language.tag(docs, model, name="_lang", score="_score").where("_score > 0")  # 0: no letter; "und" may be a label
     return tagged.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 

@@ -33,6 +33,17 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter; one narrow pass."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, 1_000_000):
+            yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """One row of BITS zeros and ones for each text: its n-grams of lower-case letters, words between single spaces."""
     out = np.zeros((len(texts), BITS), np.float32)

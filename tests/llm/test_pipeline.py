@@ -151,3 +151,12 @@ def test_every_row_is_mixed_on_its_own(spark):
         n = sum(1 for r in rows if r[2] == source)
         assert sum(k for r, k in got.items() if r[2] == source) == n * whole + -(-rest // size)
     assert set(got) == {r for r in rows if r[2] != "a"} | {r for r in got if r[2] == "a"}
+
+
+def test_language_without_labels_and_with_und_as_one(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["some words", "éa", "12 !", None, ""]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], schema)
+    assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [(0, None), (1, None)]
+    docs = spark.createDataFrame([(i, t, "und", "s", 1) for i, t in enumerate(texts)], schema)
+    assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [(0, "und"), (1, "und")]
