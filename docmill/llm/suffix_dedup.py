@@ -185,7 +185,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     meet = cut(meet)
     free(spark)
     key = F.xxhash64("id", "th")
-    texts = marked(rows, key, key_bits(meet, key)).join(meet, ["id", "th"]).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary")
+    met = meet.withColumnsRenamed({"id": "mid", "th": "mth"})
+    texts = marked(rows, key, key_bits(meet, key)).join(met, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(cuts, np.int64)

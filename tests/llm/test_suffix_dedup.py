@@ -57,6 +57,15 @@ def test_repeated_rows_and_ids(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got.collect()) == [(0, 400), (1, 250), (1, 400), (2, 250), (3, 0), (3, 0)]
 
 
+def test_overlap_with_a_row_without_an_id(spark):
+    p, x, y, z = ("".join(random.Random(k).choices("abcdefgh ", k=400)) for k in range(4))
+    rows = [(None, x[:90] + p[:300] + x[90:]), (7, y[:130] + p[:300] + y[130:]), (8, z[:50] + p[50:350] + z[50:])]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == _brute([(i or 0, t) for i, t in rows], 200)
+    got = remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got.collect()) == [(0, 300), (7, 300)]
+
+
 def test_sort():
     words = np.random.default_rng(1).integers(0, 3, (3000, 4)).astype(np.uint64)
     order = multikey_quicksort(words)
