@@ -16,8 +16,9 @@ the same GRAM bytes need comparing; one in some 70 positions has one.
    first 8 bytes, so no run lies across a boundary. Runs of very many distinct
    reaches are compared by an aggregation of their windows' hashes instead.
 
-Strings are compared by 64-bit hashes. Texts are read whole, those longer than
-PIECE in overlapping pieces.
+Strings are compared by 64-bit hashes. Texts are read whole; suffixes are named
+in overlapping pieces of PIECE windows at most, and no more than that at once,
+so that arrays and packed positions are bounded whatever a text's length.
 """
 
 from __future__ import annotations
@@ -76,6 +77,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def named_suffixes(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """The suffixes that name the pieces' windows: piece, first window, windows, offset of the suffix in the first, hashes of its first bytes and of its reach, and its first 8 bytes as a signed number in byte order."""
     a = np.frombuffer(b"".join(pieces), np.uint8)
+    assert len(a) < 1 << 26, "positions are packed in 26 bits"
     none = np.zeros(0, np.int64)
     if len(a) < length:
         return (none,) * 7
@@ -101,15 +103,21 @@ def named_suffixes(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return piece, lo - (ends - sizes)[piece], count, name - lo, gram[name].view(np.int64), reach.view(np.int64), (lead ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _pieces(texts: list[bytes], length: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts in pieces that overlap by length - 1 bytes; of each piece the text's number and the offset in it."""
-    parts, text, base = [], [], []
+def _pieces(texts: list[bytes], length: int, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts in pieces that overlap by length - 1 bytes, in groups of longest + length - 1 bytes at most; of each piece the text's number and the offset in it."""
+    parts, text, base, held = [], [], [], 0
     for i, t in enumerate(texts):
         for lo in range(0, max(1, len(t) - length + 1), longest):
-            parts.append(t[lo : lo + longest + length - 1])
+            part = t[lo : lo + longest + length - 1]
+            if parts and held + len(part) > longest + length - 1:
+                yield parts, np.array(text, np.int64), np.array(base, np.int64)
+                parts, text, base, held = [], [], [], 0
+            parts.append(part)
             text.append(i)
             base.append(lo)
-    return parts, np.array(text, np.int64), np.array(base, np.int64)
+            held += len(part)
+    if parts:
+        yield parts, np.array(text, np.int64), np.array(base, np.int64)
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -147,11 +155,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 750_000):
-            pieces, text, base = _pieces(b.column(2).to_pylist(), length, longest)
-            piece, lo, count, offset, gram, reach, lead = named_suffixes(pieces, length)
-            at = text[piece]
-            ids, ths = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
-            yield pa.record_batch([ids, ths, pa.array(lo + base[piece]), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(gram), pa.array(reach), pa.array(lead)], ["id", "th", "lo", "n", "offset", "gram", "reach", "lead"])
+            for pieces, text, base in _pieces(b.column(2).to_pylist(), length, longest):
+                piece, lo, count, offset, gram, reach, lead = named_suffixes(pieces, length)
+                at = text[piece]
+                ids, ths = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
+                yield pa.record_batch([ids, ths, pa.array(lo + base[piece]), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(gram), pa.array(reach), pa.array(lead)], ["id", "th", "lo", "n", "offset", "gram", "reach", "lead"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = rows.where(F.length("t") >= length).mapInArrow(name, f"id {kind}, th long, lo long, n int, offset int, gram long, reach long, lead long")

@@ -66,6 +66,23 @@ def test_overlap_with_a_row_without_an_id(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got.collect()) == [(0, 300), (7, 300)]
 
 
+def test_a_text_beyond_packed_positions():
+    size = (1 << 26) + (1 << 21)
+    text = np.random.default_rng(9).integers(97, 123, size, dtype=np.uint8)
+    text[size - 5_000 : size - 4_000] = text[1_000:2_000]
+    whole, ahead, windows, most = text.tobytes(), [], 0, 0
+    for pieces, _, base in suffix_dedup._pieces([whole], 200, suffix_dedup.PIECE):
+        most = max(most, sum(map(len, pieces)))
+        piece, lo, n, offset, gram, reach, _ = suffix_dedup.named_suffixes(pieces, 200)
+        windows += int(n.sum())
+        ahead += zip((lo + base[piece]).tolist(), n.tolist(), offset.tolist(), gram.tolist(), reach.tolist())
+    assert most <= suffix_dedup.PIECE + 199 and windows == size - 199
+    inside = [{(n, offset, gram, reach) for lo, n, offset, gram, reach in ahead if a < lo and lo + n + 199 < a + 1_000} for a in (1_000, size - 5_000)]
+    assert inside[0] == inside[1] and len(inside[0]) > 3
+    late = [h for h in ahead if h[0] > 1 << 26][::500]
+    assert all(gram == suffix_dedup.named_suffixes([whole[lo : lo + n + 199]], 200)[4][0] for lo, n, _, gram, _ in late)
+
+
 def test_sort():
     words = np.random.default_rng(1).integers(0, 3, (3000, 4)).astype(np.uint64)
     order = multikey_quicksort(words)
