@@ -5,19 +5,22 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import slices
-from docmill.llm.segments import SegmentCache, split_spaces
+from docmill.llm.common import slices, worker_state
+from docmill.llm.segments import SegmentCache, cut_parts
 
 #: Words of more bytes are merged by a heap: the recursive query has a row for each byte and step.
 LONG_WORD = 256
 #: Words that one recursive query encodes.
-WORDS_A_QUERY = 20_000
+WORDS_A_QUERY = 30_000
+#: Parts of texts that a worker remembers at most.
+PARTS = 600_000
 
 #: One row a token: key = word * 4096 + byte position, id. Each step joins the
 #: neighbouring pairs with the merge table and contracts every word's leftmost
@@ -62,7 +65,7 @@ class ByteBpe:
         self._table("merges", left_id=[m[0] for m in merges], right_id=[m[1] for m in merges], rank=[m[2] for m in merges])
         self._table("vocabulary", id=list(self.ranks.values()), hex=[w.hex() for w in self.ranks])
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache = SegmentCache(self.encode_segments, 500_000)
+        self.cache = SegmentCache(self.encode_parts, PARTS)
 
     def _table(self, name: str, **columns: list) -> None:
         data = pa.table({k: pa.array(v, pa.string() if k == "hex" else pa.int32()) for k, v in columns.items()})
@@ -71,9 +74,10 @@ class ByteBpe:
         self.db.unregister("data_")
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by the recursive query."""
+        """The ids of each word, by the recursive query; words of about one length at a time, as each step costs something however few words are left."""
         out: list[np.ndarray] = [None] * len(words)
         short = [i for i, w in enumerate(words) if 1 < len(w) <= LONG_WORD and w not in self.ranks]
+        short.sort(key=lambda i: len(words[i]))
         for i, w in enumerate(words):
             if w in self.ranks:
                 out[i] = np.array([self.ranks[w]], np.uint32)
@@ -115,47 +119,23 @@ class ByteBpe:
                 heapq.heappush(heap, (x, left[i]))
         return np.array([self.ranks[p] for p in parts if p is not None], np.uint32)
 
-    def encode_segments(self, segments: list[str]) -> list[np.ndarray]:
-        """The ids of each segment: its matches of the pattern, each distinct one encoded once."""
-        matches = [self.pattern.findall(s) for s in segments]
-        known = {m: i for i, m in enumerate(dict.fromkeys(m for ms in matches for m in ms))}
-        words = self.encode_words([m.encode() for m in known])
-        none = np.zeros(0, np.uint32)
-        return [words[known[ms[0]]] if len(ms) == 1 else np.concatenate([words[known[m]] for m in ms]) if ms else none for ms in matches]
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as bytes: its matches of the pattern, each distinct one encoded once."""
+        matches = [self.pattern.findall(s) for s in parts]
+        words = list(dict.fromkeys(chain.from_iterable(matches)))
+        known = dict(zip(words, (x.tobytes() for x in self.encode_words([w.encode() for w in words]))))
+        return [known[ms[0]] if len(ms) == 1 else b"".join(map(known.__getitem__, ms)) for ms in matches]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the texts' bounds in it.
 
-        A text is cut before each space that follows other than white space. No
-        match of the pattern crosses such a place: a space only begins a match.
-        Where a segment begins or ends with white space or is empty (white
-        space in a row, or at an end), the whole text is one segment.
+        A text is cut before spaces that no other white space is next to, and
+        between letters, digits and punctuation. No match of the pattern crosses
+        such a place: a space only begins a match, and but for a contraction,
+        whose apostrophe keeps its segment whole, a match is of one kind.
         """
-        index, segments, bounds = split_spaces(texts)
-        odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() for s in segments), bool, len(segments))
-        rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        whole = np.zeros(len(texts), bool)
-        whole[rows[odd[index]]] = True
-        keep = ~whole[rows]
-        first = np.zeros(len(index), bool)
-        first[bounds[:-1][np.diff(bounds) > 0]] = True
-        begins = np.zeros(len(segments), bool)
-        begins[index[keep & first]] = True
-        spaced = np.zeros(len(segments), bool)
-        spaced[index[keep & ~first]] = True
-        at_begin, at_spaced, at_whole = np.flatnonzero(begins), np.flatnonzero(spaced), np.flatnonzero(whole)
-        wanted = [segments[i] for i in at_begin] + [" " + segments[i] for i in at_spaced] + [texts[int(i)].as_py() for i in at_whole]
-        slots = self.cache.slots(wanted)
-        plain, after = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
-        plain[at_begin] = slots[: len(at_begin)]
-        after[at_spaced] = slots[len(at_begin) : len(at_begin) + len(at_spaced)]
-        line = np.where(first, plain[index], after[index])
-        counts = np.where(whole, 1, np.diff(bounds))
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        out = np.zeros(ends[-1], np.int64)
-        out[ends[at_whole]] = slots[len(at_begin) + len(at_spaced) :]
-        out[np.repeat(~whole, counts)] = line[keep]
-        return self.cache.gather(out, ends)
+        index, parts, bounds = cut_parts(texts, spaces=True)
+        return self.cache.gather(self.cache.slots(parts)[index], bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document's ids."""
@@ -168,17 +148,6 @@ class ByteBpe:
         return out
 
 
-_CODERS: dict[tuple, ByteBpe] = {}
-
-
-def coder(rank_file: str, pattern: str) -> ByteBpe:
-    """The coder of this Python worker."""
-    key = (rank_file, pattern)
-    if key not in _CODERS:
-        _CODERS[key] = ByteBpe(*key)
-    return _CODERS[key]
-
-
 def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, decoded)``: the ids of every whole text (little-endian unsigned 32-bit) and the bytes they decode to.
 
@@ -188,8 +157,9 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(rank_file, pattern)
-        for b in slices(batches, "t", 1_000_000):
+        key = (rank_file, pattern)
+        c = worker_state(key, lambda: ByteBpe(*key))
+        for b in slices(batches, "t", 2_000_000, keep=key):
             ids, bounds = c.encode(pc.fill_null(b.column(1), ""))
             parts = [ids[lo:hi].astype("<u4").tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch([b.column(0), pa.array(parts, pa.binary()), pa.array(c.decode(ids, bounds), pa.binary())], ["i", "ids", "decoded"])

@@ -27,6 +27,26 @@ def give_back() -> None:
         trim(0)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps from task to task, made once: a model, a cache. Only one: another key's goes first."""
+    forget(key)
+    if key not in _STATE:
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def forget(keep=None) -> None:
+    """Frees what this Python worker keeps for other operators' tasks, so that no stage pays for those before it."""
+    if gone := [k for k in _STATE if k != keep]:
+        for k in gone:
+            del _STATE[k]
+        gc.collect()
+        give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,7 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None:
         found = f"file://{tempfile.mkdtemp(prefix='docmill-')}"
         sc.setCheckpointDir(found)
-    return found if "://" in found else f"file://{found}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -102,11 +123,12 @@ def marked(rows: DataFrame, hashed: Column, bits, wanted: bool = True) -> DataFr
     return rows.withColumn("_docmill_hashed", hashed).mapInArrow(run, rows.schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about as many bytes of text at most; no text is cut."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = BATCH_CHARS, keep=None) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about as many bytes of text at most; no text is cut. Worker state of another key than ``keep`` goes."""
     import numpy as np
     import pyarrow.compute as pc
 
+    forget(keep)
     for b in batches:
         if b.num_rows == 0:
             continue
@@ -124,20 +146,22 @@ def crc_mod(col, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def sample_labelled(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 1000) -> DataFrame:
-    """About ``per_label`` rows of each label (all, if fewer), chosen by a hash of the key, with their weight: rows a sampled row stands for.
+def sample_labelled(rows: DataFrame, label: str, key: list[str], per_label: int, most_labels: int = 1000) -> DataFrame:
+    """About ``per_label`` rows of each label (all, if fewer), chosen by a hash of the key columns, with their weight: rows a sampled row stands for.
 
     The bound on a fit's training rows: ``per_label`` times the number of
     labels, of which at most ``most_labels`` (the most frequent) are learned.
-    One aggregation by label; no row moves.
+    Rows that agree in label and key are learned once, so that repeated rows
+    can't break the bound. One aggregation by label; only sampled rows move.
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     found = {r[0]: r.n for r in counts.orderBy(F.desc("n"), label).limit(most_labels).collect()}
     if not found:
         return rows.where("false").withColumn("weight", F.lit(1.0))
     share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, per_label / n))])[F.col(label)]
-    at = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
-    return rows.where(F.col(label).isin(list(found))).where(at < share).withColumn("weight", 1 / share)
+    at = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
+    picked = rows.where(F.col(label).isin(list(found))).where(at < share).withColumn("weight", 1 / share)
+    return picked.dropDuplicates([label, *key])
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -148,6 +172,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """
     import numpy as np
 
+    forget()
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:

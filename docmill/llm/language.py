@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from docmill.llm.common import cut, sample_labelled, slices
 
@@ -106,13 +106,12 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     return kernel rows only, a few thousand.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    sample = cut(sample_labelled(rows, label, key, per_label).select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(key).alias("h")))
+    sample = cut(sample_labelled(rows.select(label, key, text), label, [key, text], per_label).select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(key).alias("h")))
     labels = sorted(r.y for r in sample.select("y").distinct().collect())
     if not labels:
         return None
-    chosen = []
-    for y in labels:  # labels are few
-        chosen += [r.t for r in sample.where(F.col("y") == y).orderBy("h", F.length("t")).limit(max(2, landmarks // len(labels))).collect()]
+    nth = F.row_number().over(Window.partitionBy("y").orderBy("h", F.length("t"), "t"))
+    chosen = [r.t for r in sample.withColumn("nth", nth).where(F.col("nth") <= max(2, landmarks // len(labels))).orderBy("y", "nth").collect()]
     bits = np.packbits(presence(chosen).astype(bool), axis=1)
     model = LanguageModel(labels, bits)
 
@@ -150,8 +149,9 @@ def tag(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", na
 
     A text that is null or has no letter, and any text without a model, is
     ``und`` with score 0. The score is the softmax of the labels' decision
-    values, so ties go to the first label in order. Columns of docs that are named like
-    a new one give way.
+    values, so ties go to the first label in order. Repeated rows give repeated
+    results, an empty table none. Columns of docs that are named like a new one
+    give way.
     """
     docs = docs.drop(name, score)
     columns = docs.columns

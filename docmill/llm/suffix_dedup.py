@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import cut, free, groups, key_bits, marked, slices
+from docmill.llm.common import cut, free, groups, key_bits, marked, slices, worker_state
 from docmill.llm.shingles import _powers, mix
 
 #: Bytes by which suffixes are named and first compared.
@@ -43,13 +43,13 @@ _POSITION = np.uint64((1 << 26) - 1)
 _BYTES = np.random.default_rng(30).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLES: dict[str, np.ndarray] = {}
 
 
 def _table(base: int, n: int) -> np.ndarray:
-    have = _TABLES.get(str(base))
+    tables = worker_state("powers", dict)
+    have = tables.get(base)
     if have is None or len(have) < n:
-        have = _TABLES[str(base)] = _powers(base, max(n, 1 << 16))
+        have = tables[base] = _powers(base, max(n, 1 << 16))
     return have
 
 
@@ -154,7 +154,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), text.alias("t"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", 750_000):
+        for b in slices(batches, "t", 750_000, keep="powers"):
             for pieces, text, base in _pieces(b.column(2).to_pylist(), length, longest):
                 piece, lo, count, offset, gram, reach, lead = named_suffixes(pieces, length)
                 at = text[piece]
@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     meet = meet.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "offset", "gram", "times", "size")).alias("s"))
 
     def reach_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", 750_000):
+        for b in slices(batches, "t", 750_000, keep="powers"):
             out: list[list] = [[] for _ in range(8)]
             for i, th, t, each in zip(*(b.column(k).to_pylist() for k in range(4))):
                 for s in each:
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     found = cool.mapInArrow(compare, span)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "x", 200_000):
+        for b in slices(batches, "x", 200_000, keep="powers"):
             for i, th, lo, offset, x, times in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("id", "th", "lo", "offset", "x", "times"))):
                 sums = _sums(np.frombuffer(x, np.uint8))
                 s = np.arange(len(x) - length + 1)
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     stay = marked(own, key, bits, wanted=False).withColumn("_docmill_spans", F.lit(None).cast(spans.schema["spans"].dataType))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 750_000):
+        for b in slices(batches, text_col, 750_000, keep="powers"):
             kept, removed, n_spans, sizes = [], [], [], []
             texts = pc.cast(pc.fill_null(b.column(columns.index(text_col)), ""), pa.binary())
             for t, each in zip(texts, b.column(len(columns)).to_pylist()):

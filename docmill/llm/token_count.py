@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import slices
+from docmill.llm.common import slices, worker_state
 
 #: What stands for a space inside the pieces.
 SPACE = "▁"
@@ -86,17 +86,6 @@ class Splicer:
             r0, (at, _, skip), overlap = next0, found, self.overlap
 
 
-_SPLICERS: dict[tuple, Splicer] = {}
-
-
-def splicer(model: str, chunk: int, overlap: int) -> Splicer:
-    """The splicer of this Python worker."""
-    key = (model, chunk, overlap)
-    if key not in _SPLICERS:
-        _SPLICERS[key] = Splicer(*key)
-    return _SPLICERS[key]
-
-
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16_384, overlap: int = 256) -> DataFrame:
     """Bytes and tokens of every whole text: ``(id, n_bytes, n_tokens, n_chunks)``; one narrow pass, no shuffle.
 
@@ -106,8 +95,9 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = splicer(model, chunk, overlap)
-        for b in slices(batches, "t"):
+        key = (model, chunk, overlap)
+        s = worker_state(key, lambda: Splicer(*key))
+        for b in slices(batches, "t", keep=key):
             texts = pc.fill_null(b.column(1), "")
             n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
             texts = texts.to_pylist()

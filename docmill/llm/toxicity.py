@@ -112,15 +112,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     """Learns the lexicon, the exceptions and the coefficients from labelled rows.
 
     Training rows are a sample of about per_label of each label (the documented
-    bound). Entries' counts are aggregated before they move; at most
+    bound), each text of an id once. Entries' counts are aggregated before they move; at most
     most_entries, the most unlikely by chance, reach the driver, and of the
     sampled rows three numbers each. Without labels the seed lexicon stands.
     """
     seed = {f" {fold(w).strip()} ": 4.0 for w in SEED}
-    keys = sample_labelled(labels.select(key, label), label, key, per_label)
-    sample = cut(docs.select(key, text).join(F.broadcast(keys), key).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), "weight"))
-    by = {r.y: (r.n, r.w) for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
-    n1, n0 = by.get(1, (0, 0))[0], by.get(0, (0, 0))[0]
+    keys = sample_labelled(labels.select(key, label), label, [key], per_label)
+    joined = docs.select(key, text).join(F.broadcast(keys), key).dropDuplicates([key, text])
+    sample = cut(joined.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), "weight"))
+    by = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if max(by.values(), default=0) > 2 * per_label:  # ids with many texts
+        sample = cut(sample_labelled(sample.drop("weight"), "y", ["t"], per_label))
+        by = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = by.get(1, 0), by.get(0, 0)
     model = ToxicityModel(dict(seed), frozenset(SEED_EXCEPTIONS))
     if not n1 or not n0:
         return model
@@ -194,7 +198,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` of every whole text; one narrow pass. A null text is the empty one."""
+    """``(id, score)`` of every whole text; one narrow pass. A null text is the empty one; repeated rows give repeated results, an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
+from docmill.llm import segments
 from docmill.llm.bpe import ByteBpe, digests, encode_column
 
 FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,7 +26,7 @@ def own():
     return ByteBpe(FILE, public_tokenizers.PATTERN)
 
 
-PARTS = ["the", "Hello", " ", "  ", "\n", "\n ", "\t", "日本語", "é", "👩‍👩‍👧", "don't", "12345", "...!!", "internationalization", " ", " x", "x" * 300, "ab" * 200, "<|endoftext|>", "\x1c", "\x85"]
+PARTS = ["the", "Hello", " ", "  ", "\n", "\n ", "\t", "日本語", "é", "👩‍👩‍👧", "don't", "12345", "...!!", "internationalization", " ", " x", "x" * 300, "ab" * 200, "<|endoftext|>", "\x1c", "\x85", "×", "÷", "İ", "ſ", "\u00a0", "one\ntwo", "\r\n", "'s", "'", "x\ty", "Ünï,ö!", "a1b2", "\u3000", "ĳ.", "\x00", "ñ\u0301"]
 
 
 @pytest.mark.parametrize("seed", range(25))
@@ -38,6 +39,14 @@ def test_equals_library(own, library, seed):
     assert own.decode(ids, bounds) == [t.encode() for t in texts]
 
 
+def test_long_texts_in_pieces(own, library, monkeypatch):
+    monkeypatch.setattr(segments, "LONG", 40)
+    r = random.Random(1)
+    texts = [" ".join(r.choice(PARTS) for _ in range(r.randrange(200))) for _ in range(20)] + ["", "a b " * 50, " ", "x" * 500]
+    ids, bounds = own.encode(pa.array(texts))
+    assert [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_words_without_heap(own, library):
     r = random.Random(1)
     words = [bytes(r.choice(b"abcdetsnr") for _ in range(r.randrange(1, 200))) for _ in range(300)]
