@@ -7,8 +7,8 @@ largest repetition (weight times budget over the source's tokens) falls as t
 rises, so bisection finds the exponent nearest to 1 that reaches the target
 entropy, or the smallest that keeps the repetition limit. A source's budget is
 then dealt by block permutations: block b takes the source's documents in an
-order of its own, by a hash, whole blocks first and of the last one what still
-begins within the budget.
+order of its own, by a hash of seed, block and id: whole blocks first, and of the
+last one, in that block's order, what still begins within the budget.
 """
 
 from __future__ import annotations
@@ -79,12 +79,18 @@ def weights(tokens: DataFrame, target_entropy: float | None = None, most_repeats
     return flat.select(F.col("r.source").alias("source"), F.col("r.tokens").cast("long").alias("tokens"), "weight", F.floor(F.col("weight") * F.col("total") * budget_share).cast("long").alias("budget"))
 
 
+def _order_key(seed: int, block: Column, id_: Column) -> Column:
+    """By which a block's documents are permuted; a null block or id counts as none."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), id_.cast("string")))
+
+
 def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 1, ties: tuple[str, ...] = ()) -> DataFrame:
     """``(id, source, n_tokens, copies)``: how often each document is taken.
 
-    Of a source with budget B and T tokens, every document is taken in floor(B /
-    T) whole blocks, and once more if it begins before B mod T in the last
-    block's order (by md5 of seed and id, then id). Its place there is a prefix
+    Of a source with budget B and T tokens, every document is taken in b = floor(B
+    / T) whole blocks, and once more if it begins before B mod T in the order of
+    the last block (by md5 of seed, b and id, then id), the order that blocks
+    gives it. Its place there is a prefix
     sum in two steps: sums of ranges of the hash, and a window within a range,
     so that a source with any share of all rows is dealt to as many tasks as it
     has ranges. Documents without tokens go with the whole blocks alone.
@@ -93,11 +99,10 @@ def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "d
     which then come along).
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_tokens.alias("n"), *ties)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
     counted = rows.groupBy("source").agg(F.count("*").alias("docs"))
-    rows = rows.withColumn("key", key).withColumn("at", F.conv(F.substring("key", 1, 7), 16, 10).cast("long"))
     plan = weighted.join(counted.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "inner").select(F.col("source").alias("s"), "tokens", "budget", F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE)).alias("ranges"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    rows = rows.withColumn("key", _order_key(seed, F.expr("budget div tokens"), F.col("id"))).withColumn("at", F.conv(F.substring("key", 1, 7), 16, 10).cast("long"))
     rows = rows.withColumn("range", F.floor(F.col("at") * F.col("ranges") / F.lit(1 << 28)))
     same = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "range").agg(F.sum("n").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(same), F.lit(0)))
@@ -112,6 +117,6 @@ def mix(docs: DataFrame, n_tokens: Column, weighted: DataFrame, id_col: str = "d
 
 
 def blocks(mixed: DataFrame, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
-    """One row for each copy: ``block`` from 0 and ``order_key``, by which a block's documents are permuted."""
+    """One row for each copy: ``block`` from 0 and ``order_key``, by which a source's documents of a block are permuted (ties by id)."""
     rows = mixed.where("copies > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return rows.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col(id_col).cast("string"))))
+    return rows.withColumn("order_key", _order_key(seed, F.col("block"), F.col(id_col)))

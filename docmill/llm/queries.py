@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docmill.llm import ann, language, toxicity
 from docmill.llm.bpe import digests, encode_column
 from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
 from docmill.llm.embedding_dedup import links
 from docmill.llm.jaccard_join import join
-from docmill.llm.mixing import mix, n_words, weights
+from docmill.llm.mixing import blocks, mix, n_words, weights
 from docmill.llm.suffix_dedup import remove_repeats
 from docmill.llm.token_count import count_tokens
-from docmill.llm.token_files import digest, encode_documents, read_tokens, write_tokens
+from docmill.llm.token_files import digest, encode_documents, id_type, read_tokens, write_tokens
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -31,6 +31,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out(rest) -> Column:
+    """Whether a row is held out; one without an id isn't, but is never learned from either."""
+    return F.coalesce(rest, F.lit(False)).alias("held_out")
+
+
 @_query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document by the 32k SentencePiece model."""
@@ -52,7 +57,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     found = toxicity.score(docs, toxicity.fit(docs, known.where(crc_mod("doc_id", 5) != 0)))
-    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(crc_mod("doc_id", 5) == 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @_query
@@ -80,10 +85,10 @@ MIX_ENTROPY, MIX_REPEATS = 0.985, 3.0
 
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is taken in a mix of the sources near equal weights."""
+    """The block permutations of a mix of the sources near equal weights: a row for each time that a document is taken."""
     docs = table(spark, sf_dir, "documents")
     counted = docs.select("doc_id", "source", n_words().alias("n_tokens"))
-    return mix(counted, F.col("n_tokens"), weights(counted, MIX_ENTROPY, MIX_REPEATS))
+    return blocks(mix(counted, F.col("n_tokens"), weights(counted, MIX_ENTROPY, MIX_REPEATS)))
 
 
 _ORACLE["op7_mixing"] = f"""
@@ -109,9 +114,11 @@ t AS (SELECT round(greatest(
     (SELECT CASE WHEN max(1 / s) / count(*) <= {MIX_REPEATS} THEN 0 ELSE (SELECT (lo + hi) / 2 FROM repeats WHERE i = 40) END FROM shares)), 9) AS t),
 w AS (SELECT source, CAST(tokens AS BIGINT) AS tokens, round(pow(tokens / total, t) / sum(pow(tokens / total, t)) OVER (), 9) AS weight, total FROM src, tot, t),
 plan AS (SELECT source, tokens, CAST(floor(weight * total) AS BIGINT) AS budget FROM w),
-placed AS (SELECT doc_id, source, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('1:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs)
-SELECT d.doc_id, d.source, d.n AS n_tokens, CAST(coalesce(budget // tokens + CASE WHEN before < budget % tokens AND n > 0 THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies
-FROM placed d LEFT JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+dealt AS (SELECT doc_id, d.source, n, budget // tokens AS whole, budget % tokens AS rest FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+placed AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '1', whole, doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dealt),
+taken AS (SELECT doc_id, source, n, CAST(whole + CASE WHEN before < rest AND n > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed),
+blocks AS (SELECT *, unnest(range(copies)) AS block FROM taken)
+SELECT doc_id, source, n AS n_tokens, copies, block, md5(concat_ws(':', '1', block, doc_id)) AS order_key FROM blocks
 """
 
 
@@ -119,10 +126,10 @@ FROM placed d LEFT JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
     docs = table(spark, sf_dir, "documents")
-    path = scratch_path(spark, "tokens")
-    encoded = encode_documents(docs, _tokenizer("word_bpe_49k.json"), end_id=2)
-    write_tokens(encoded, docs, path, parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cut(digest(read_tokens(spark, path), wide=False).withColumnRenamed("id", "doc_id"))
+    path, model = scratch_path(spark, "tokens"), _tokenizer("word_bpe_49k.json")
+    encoded, dtype = encode_documents(docs, model, end_id=2), id_type(model)
+    write_tokens(encoded, docs, path, parts=int(spark.conf.get("spark.sql.shuffle.partitions")), dtype=dtype)
+    found = cut(digest(read_tokens(spark, path), dtype).withColumnRenamed("id", "doc_id"))
     delete_path(spark, path)
     return found
 
@@ -132,7 +139,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document; learned outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs.where(crc_mod("doc_id", 3) != 1)))
-    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(crc_mod("doc_id", 3) == 1), "lang_pred", "score")
 
 
 @_query

@@ -13,11 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +24,25 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docmill.llm.common import slices
-from docmill.llm.segments import SegmentCache, split_spaces
+from docmill.llm.common import slices, worker_state
+from docmill.llm.segments import SegmentCache, cut_parts
 
-_CACHES: dict[str, SegmentCache] = {}
+#: What stands for a null key in the index.
+NULL_KEY = -(1 << 63)
 
-
-#: Words of Latin letters only (but for the one whose lower case is two characters), and the punctuation that may follow.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ž]+)([.,;:!?|]*)")
+#: Runs of Latin letters (but for the one whose lower case is two characters), and of punctuation (no apostrophe, no bracket of a special token).
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ž]+|[.,;:!?|*%&$#+=/()\"-]+")
+#: Parts of texts that a worker remembers at most.
+PARTS = 800_000
 
 
 class _Words:
-    """Encodes segments by the library, plain words many at a time.
+    """Encodes parts of texts by the library, plain ones many at a time.
 
-    A plain word is one match of the pre-tokenizer, whose last token alone has
-    the end-of-word suffix; so the ids of many words, encoded as one text, can
-    be told apart. Punctuation after it is a match of its own.
+    A run of letters or of punctuation is one match of the pre-tokenizer. A match's last token alone has the end-of-word suffix; so the ids of
+    many matches, encoded as one text with spaces between, can be told apart. For
+    them the library's normalizer and first split are left out, which then change
+    nothing but the case.
     """
 
     def __init__(self, model: str):
@@ -50,44 +52,49 @@ class _Words:
         self.library = Tokenizer.from_file(model)
         suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
         self.joins = bool(suffix) and splits_at_spaces(model)
+        spec = json.loads(self.library.to_str())
+        spec["normalizer"], spec["added_tokens"] = None, []
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])[1:]]}
+        self.bare = Tokenizer.from_str(json.dumps(spec)) if self.joins else None
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
 
-    def each(self, texts: list[str]) -> list[np.ndarray]:
+    def each(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the library's results are large, so few at a time."""
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         for lo in range(0, len(texts), 4096):
-            out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+            out += [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
         return out
 
-    def plain(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of plain words."""
-        out: list[np.ndarray] = []
+    def plain(self, words: list[str]) -> list[bytes]:
+        """The ids of runs of lower-case letters or of punctuation."""
+        out: list[bytes] = []
         for lo in range(0, len(words), 8000):
             block = words[lo : lo + 8000]
-            ids = np.concatenate(self.each([" ".join(block[k : k + 200]) for k in range(0, len(block), 200)]))
+            found = self.bare.encode_batch_fast([" ".join(block[k : k + 100]) for k in range(0, len(block), 100)], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(e.ids for e in found)), np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             assert len(stops) == len(block), "each plain word ends with one end-of-word token"
-            out += np.split(ids, stops[:-1])
+            flat, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+            out += [flat[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def __call__(self, segments: list[str]) -> list[np.ndarray]:
-        """The ids of each segment."""
+    def __call__(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as bytes."""
         if not self.joins:
-            return self.each(segments)
-        cut = [_PLAIN.fullmatch(s) for s in segments]
-        words = {m[1]: None for m in cut if m}
-        words = dict(zip(words, self.plain(list(words)))) if words else {}
-        rest = list({m[2]: None for m in cut if m and m[2]} | {s: None for s, m in zip(segments, cut) if not m})
-        rest = dict(zip(rest, self.each(rest)))
-        return [rest[s] if not m else np.concatenate([words[m[1]], rest[m[2]]]) if m[2] else words[m[1]] for s, m in zip(segments, cut)]
+            return self.each(parts)
+        plain = [bool(_PLAIN.fullmatch(s)) for s in parts]
+        known = iter(self.plain([s.lower() for s, p in zip(parts, plain) if p]))
+        rest = iter(self.each([s for s, p in zip(parts, plain) if not p]))
+        return [next(known if p else rest) for p in plain]
+
 
+def id_type(model: str) -> np.dtype:
+    """The unsigned type that holds every id of the model: 16 bits where the vocabulary allows."""
+    from tokenizers import Tokenizer
 
-def _words(model: str) -> SegmentCache:
-    if model not in _CACHES:
-        _CACHES[model] = SegmentCache(_Words(model), 900_000)
-    return _CACHES[model]
+    return np.dtype("<u2" if max(Tokenizer.from_file(model).get_vocab().values()) < 1 << 16 else "<u4")
 
 
 def splits_at_spaces(model: str) -> bool:
@@ -115,20 +122,26 @@ def splits_at_spaces(model: str) -> bool:
     )
 
 
-def encode_documents(docs: DataFrame, model: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", ids16: bool = True) -> DataFrame:
-    """``(id, ids)`` with the ids of every whole text as little-endian bytes, end_id appended; one narrow pass."""
-    whole = not splits_at_spaces(model)
-    dtype = np.dtype("<u2" if ids16 else "<u4")
+def encode_documents(docs: DataFrame, model: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids)`` with the ids of every whole text as little-endian bytes of id_type(model), end_id appended; one narrow pass.
+
+    A null text is the empty one, with the end id alone. Repeated rows give
+    repeated results, an empty table none; other columns are not read. Memory
+    follows the longest text.
+    """
+    whole, dtype = not splits_at_spaces(model), id_type(model)
+    if end_id is not None and end_id > np.iinfo(dtype).max:
+        raise ValueError(f"the end id {end_id} does not fit {dtype}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _words(model)
+        cache = worker_state(model, lambda: SegmentCache(_Words(model), PARTS))
         tail = b"" if end_id is None else np.array([end_id], dtype).tobytes()
-        for b in slices(batches, "t", 2_000_000):
+        for b in slices(batches, "t", 2_000_000, keep=model):
             texts = pc.fill_null(b.column(1), "")
             if whole:
                 index, segments, bounds = np.arange(len(texts)), texts.to_pylist(), np.arange(len(texts) + 1)
             else:
-                index, segments, bounds = split_spaces(texts)
+                index, segments, bounds = cut_parts(texts, spaces=False)
             flat, ends = cache.gather(cache.slots(segments)[index], bounds)
             flat = flat.astype(dtype)
             out = [flat[lo:hi].tobytes() + tail for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
@@ -152,7 +165,7 @@ def _put(path: str, write) -> None:
     fs.move(own, at)
 
 
-def write_tokens(encoded: DataFrame, ids: DataFrame, path: str, parts: int, id_col: str = "doc_id", vocab_size: int = 65_536) -> dict:
+def write_tokens(encoded: DataFrame, ids: DataFrame, path: str, parts: int, id_col: str = "doc_id", dtype: np.dtype = np.dtype("<u2")) -> dict:
     """Writes ``(id, ids)`` rows in ascending order of the id and returns the manifest.
 
     The parts are ranges of the id from its quantiles (one scan of ids, the
@@ -160,36 +173,29 @@ def write_tokens(encoded: DataFrame, ids: DataFrame, path: str, parts: int, id_c
     parts reach the driver, which sums them to bases. A part is a stream of
     rows: no task holds more than one document. Rows with a null id come first;
     rows with equal ids stay side by side (their order among each other is that
-    of their ids' bytes). A null id is stored as -1.
+    of their ids' bytes). A null id is stored as NULL_KEY. dtype is that of the
+    encoded ids (id_type of their model).
     """
-    dtype = np.dtype("<u2" if vocab_size <= 65_536 else "<u4")
     fs, at = _store(path)
     fs.create_dir(at, recursive=True)
     cuts = _quantiles(ids, id_col, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lens, part, ids_file = [], [], None, None
-        try:
-            for b in batches:
+        keys, lens = [], []
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        part = first.column(0)[0].as_py()
+
+        def copy(f) -> None:
+            for b in chain([first], batches):
                 for p, key, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    if part is None:
-                        part, ids_file = p, tempfile.SpooledTemporaryFile(max_size=1 << 25)
                     assert p == part, "a task has one part"
-                    keys.append(-1 if key is None else key)
+                    keys.append(NULL_KEY if key is None else key)
                     lens.append(len(ids) // dtype.itemsize)
-                    ids_file.write(ids)
-            if part is None:
-                return
-
-            def copy(f) -> None:
-                ids_file.seek(0)
-                while block := ids_file.read(1 << 22):
-                    f.write(block)
-
-            _put(f"{path}/ids-{part:06d}.bin", copy)
-        finally:
-            if ids_file is not None:
-                ids_file.close()
+                    f.write(ids)
+
+        _put(f"{path}/ids-{part:06d}.bin", copy)
         index = np.concatenate([np.array(keys, "<i8"), np.concatenate([[0], np.cumsum(lens)]).astype("<i8")])
         _put(f"{path}/index-{part:06d}.bin", lambda f: f.write(index.tobytes()))
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([sum(lens)], pa.int64())], ["part", "docs", "ids"])
@@ -228,7 +234,7 @@ def _quantiles(ids: DataFrame, id_col: str, parts: int) -> list:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, start, n_tokens, ids)`` of a written data set; each task maps its parts' files into memory."""
+    """``(id, start, n_tokens, ids)`` of a written data set, a null id where none was; each task maps its parts' files into memory."""
     fs, at = _store(path)
     with fs.open_input_stream(f"{at}/manifest.json") as f:
         manifest = json.loads(f.read())
@@ -244,7 +250,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 for lo in range(0, docs, step):
                     hi = min(docs, lo + step)
                     o = offsets[lo : hi + 1].tolist()
-                    yield pa.record_batch([pa.array(keys[lo:hi], pa.int64()), pa.array(base + offsets[lo:hi], pa.int64()), pa.array(np.diff(offsets[lo : hi + 1]), pa.int64()), pa.array([ids[s:e].tobytes() for s, e in zip(o, o[1:])], pa.binary())], ["id", "start", "n_tokens", "ids"])
+                    yield pa.record_batch([pa.array(keys[lo:hi], pa.int64(), mask=keys[lo:hi] == NULL_KEY), pa.array(base + offsets[lo:hi], pa.int64()), pa.array(np.diff(offsets[lo : hi + 1]), pa.int64()), pa.array([ids[s:e].tobytes() for s, e in zip(o, o[1:])], pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     parts = spark.createDataFrame([(p["part"], p["docs"], p["base"]) for p in manifest["parts"]], "part int, docs long, base long")
     return parts.repartitionById(max(1, len(manifest["parts"])), F.col("part")).mapInArrow(run, "id long, start long, n_tokens long, ids binary")
@@ -259,12 +265,12 @@ def _mapped(path: str, dtype: np.dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def digest(tokens: DataFrame, wide: bool) -> DataFrame:
+def digest(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     """``(id, start, n_tokens, ids_crc32)``: crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crc = [zlib.crc32(x if wide else np.frombuffer(x, "<u2").astype("<u4")) for x in b.column(3).to_pylist()]
+            crc = [zlib.crc32(np.frombuffer(x, dtype).astype("<u4")) for x in b.column(3).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")

@@ -40,8 +40,8 @@ def test_copies(spark):
     got = {r.doc_id: r for r in mix(docs, n_words(), plan).collect()}
     assert len(got) == len(rows)
     for p in plan.collect():
-        own = sorted((hashlib.md5(f"1:{i}".encode()).hexdigest(), i, len((t or "").split())) for i, s, t in rows if s == p.source)
         whole, rest, before = p.budget // p.tokens, p.budget % p.tokens, 0
+        own = sorted((hashlib.md5(f"1:{whole}:{i}".encode()).hexdigest(), i, len((t or "").split())) for i, s, t in rows if s == p.source)
         for _, i, n in own:
             assert got[i].copies == whole + (before < rest and n > 0)
             before += n
@@ -49,6 +49,22 @@ def test_copies(spark):
     each = blocks(mix(docs, n_words(), plan))
     assert each.count() == sum(r.copies for r in got.values())
     assert each.groupBy("doc_id", "block").count().where(F.col("count") > 1).count() == 0
+    # The last block is a prefix of its own permutation, but for documents without tokens.
+    rows_of = {i: (s, len((t or "").split())) for i, s, t in rows}
+    for p in plan.collect():
+        last = p.budget // p.tokens
+        taken = {r.doc_id: r.order_key for r in each.where(F.col("source").eqNullSafe(p.source) & (F.col("block") == last)).collect()}
+        order = {i: hashlib.md5(f"1:{last}:{i}".encode()).hexdigest() for i, (s, n) in rows_of.items() if s == p.source and n}
+        assert taken == {i: order[i] for i in taken} and max(taken.values(), default="") < min([k for i, k in order.items() if i not in taken], default="z")
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a", "x y"), (1, "a", "x y"), (None, "a", "z"), (2, None, "q r s")]
+    docs = _docs(spark, rows).withColumns({"budget": F.lit(1), "tokens": F.lit("t"), "key": F.lit(0), "range": F.lit(0), "n": F.lit(0)})
+    plan = weights(docs.withColumn("n_tokens", n_words()), target_entropy=0.9)
+    got = mix(docs, n_words(), plan)
+    assert got.columns == ["doc_id", "source", "n_tokens", "copies"] and got.count() == 4
+    assert {(r.source, r.block) for r in blocks(got).collect()} >= {("a", 0)}
 
 
 def test_empty(spark):
