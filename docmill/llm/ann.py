@@ -7,8 +7,13 @@ A query's strings are those of the query itself with 0 there: the centre adds
 the same to all its inner products. A tree is the sorted array of its strings.
 A query descends each tree to its longest matching prefix; then all trees
 ascend together, one bit at a time, and at each length give the run of strings
-that share the prefix, until enough candidates are in hand. Candidates are
-ranked exactly by the inner product in double precision.
+that share the prefix, tree by tree until enough candidates are in hand.
+Candidates are ranked exactly by the inner product in double precision.
+
+How many candidates are enough is measured, not guessed: a bounded sample of a
+block's queries is compared with all vectors of the shard, and the count is the
+one by which the wanted share of their true neighbours has arrived. Clustered
+vectors need few; vectors without any structure need a good part of a shard.
 
 The forest is kept in shards of bounded size: a task builds its shard's sorted
 arrays and answers a block of queries on them; a query's nearest of all shards
@@ -29,8 +34,10 @@ from docmill.llm.embedding_dedup import valid
 
 #: Bits of a hash string.
 BITS = 32
-#: Vectors of a shard and queries of a block, about.
-SHARD, QUERIES = 8192, 2048
+#: Numbers in the vectors of a shard and in the queries of a block, about; and vectors for which a shard of its own pays while tasks are idle.
+SHARD, QUERIES, LEAST = 1 << 21, 1 << 20, 4096
+#: Queries of a block by which the number of candidates is measured.
+MEASURED = 64
 
 
 class Forest:
@@ -68,21 +75,48 @@ class Forest:
                 hi[n, t] = np.searchsorted(self.sorted[t], low + (np.uint64(1) << np.uint64(BITS - n)))
         return lo, hi
 
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, candidates: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def ascent(self, lo: np.ndarray, hi: np.ndarray, seen: np.ndarray, enough: int) -> Iterator[None]:
+        """Marks one query's candidates in ``seen``, all trees ascending together; a step is one tree at one length (those before ``enough`` can be reached: one step)."""
+        total = (hi - lo).sum(1)
+        n = max(np.flatnonzero(total >= enough).tolist() or [0])  # runs of shorter prefixes hold those of longer ones
+        if n < BITS:
+            for t in range(len(self.planes)):
+                seen[self.order[t][lo[n + 1, t] : hi[n + 1, t]]] = True
+        for length in range(n, -1, -1):
+            for t in range(len(self.planes)):
+                seen[self.order[t][lo[length, t] : hi[length, t]]] = True
+                yield
+
+    def enough(self, q: np.ndarray, own: np.ndarray, k: int, recall: float) -> int:
+        """Candidates by which that share of the k nearest of a sample of the queries has arrived."""
+        some = np.unique(np.linspace(0, len(q) - 1, min(MEASURED, len(q))).astype(int))
+        part, arrived = q[some], []
+        lo, hi = self.runs(part)
+        score = part @ self.x.T
+        score[own[some][:, None] == self.ids[None, :]] = -np.inf
+        for i in range(len(some)):
+            wanted = np.argsort(-score[i], kind="stable")[: min(k, np.count_nonzero(score[i] > -np.inf))]
+            seen, missing = np.zeros(len(self.ids), bool), wanted
+            for _ in self.ascent(lo[:, :, i], hi[:, :, i], seen, 1):
+                here = seen[missing]
+                if here.any():
+                    arrived += [np.count_nonzero(seen)] * int(here.sum())
+                    missing = missing[~here]
+                if not len(missing):
+                    break
+        return int(np.quantile(arrived, recall, method="higher")) if arrived else len(self.ids)
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, recall: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each query: its number, the ids of its k nearest candidates (own id left out), and their inner products."""
+        candidates = min(len(self.ids), max(4 * k, self.enough(q, own, k, recall)))
         for start in range(0, len(q), 256):
             part = q[start : start + 256]
             lo, hi = self.runs(part)
             for i in range(len(part)):
                 seen = np.zeros(len(self.ids), bool)
-                n = BITS
-                while True:  # synchronous ascent
-                    if hi[n, :, i].sum() - lo[n, :, i].sum() >= candidates or n == 0:
-                        for t in range(len(self.planes)):
-                            seen[self.order[t][lo[n, t, i] : hi[n, t, i]]] = True
-                        if n == 0 or np.count_nonzero(seen) >= candidates:
-                            break
-                    n -= 1
+                for _ in self.ascent(lo[:, :, i], hi[:, :, i], seen, candidates):
+                    if np.count_nonzero(seen) >= candidates:
+                        break
                 at = np.flatnonzero(seen)
                 at = at[self.ids[at] != own[start + i]]
                 score = self.x[at] @ part[i]
@@ -94,23 +128,25 @@ class Forest:
                 yield start + i, self.ids[at], score
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.4, trees: int = 48, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11, fit_rows: int = 10_000) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, trees: int = 48, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11, fit_rows: int = 10_000) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of every query among all other rows.
 
-    is_query is a condition on the id. A shard gives at least ``share`` of its
-    vectors as candidates of a query (all, if they are fewer than 4 k): recall
-    against brute force rises with it. The centre that is subtracted before
+    is_query is a condition on the id. A shard gives a query as many candidates
+    as it took to find the share ``recall`` of the neighbours of at most MEASURED
+    of the block's queries, 4 k at least. The centre that is subtracted before
     hashing is the mean of about fit_rows vectors chosen by a hash of the id
     (the documented bound); every row is indexed. Vectors that are null, zero
     or hold null or non-finite components take no part; vectors of another
     length than the query's are no candidates. Rows with one id are one
-    candidate each, but a query leaves out all rows with its own id. Ties go to
-    the smaller id. Other columns are not read.
+    candidate each, but a query leaves out all rows with its own id; several
+    query rows of one id share its k places. Rows without an id are neither. Ties
+    go to the smaller id. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(valid("v") & F.col("id").isNotNull())
     sized = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(is_query(F.col("id")).cast("long")).alias("q"))
-    sizes = {r.d: (max(1, -(-r.n // SHARD)), max(1, -(-r.q // QUERIES)), r.n) for r in sized.collect()}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = {r.d: (max(1, -(-r.n * r.d // SHARD), min(parts, r.n // LEAST)), max(1, -(-r.q * r.d // QUERIES)), r.n) for r in sized.collect()}
     out = "query_id long, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -136,10 +172,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.4, trees:
             x = g.column(5).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             forest = Forest(x[kind == 0], ids[kind == 0], centers[d], trees, seed)
             q = ids[kind == 1]
-            found = list(forest.search(x[kind == 1], q, k, max(4 * k, int(share * len(forest.ids)))))
+            found = list(forest.search(x[kind == 1], q, k, recall))
             yield pa.record_batch([pa.array(np.concatenate([np.full(len(i), q[n]) for n, i, _ in found]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(s * b for s, b, _ in sizes.values()))
+    n = max(parts, sum(s * b for s, b, _ in sizes.values()))
     dealt = base.unionByName(asked).repartition(n, "d", "s", "b").sortWithinPartitions("d", "s", "b", "kind", "id")
     found = cut(dealt.mapInArrow(run, out))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
