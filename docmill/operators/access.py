@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docmill.operators.lineage import small
+
 LEVELS = {"read": 1, "write": 2, "delete": 3}
 
 
@@ -41,33 +43,51 @@ def subjects(accounts: DataFrame, account_roles: DataFrame) -> DataFrame:
     return own.unionByName(roles)
 
 
-def document_grants(subject_rows: DataFrame, permissions: DataFrame) -> DataFrame:
-    """``(account_id, doc_id, denied, override_level, own_denied, own_level)``: the ACL joined once by subject and folded to flags."""
-    joined = subject_rows.join(permissions, ["subject_type", "subject_id"])
-    deny, over = F.col("precedence") == "deny", F.col("precedence") == "override"
-    own = F.col("subject_type") == "account"
-    return joined.groupBy("account_id", "doc_id").agg(
-        F.bool_or(deny).alias("denied"),
-        F.max(F.when(over, level(F.col("permission")))).alias("override_level"),
-        F.bool_or(deny & own).alias("own_denied"),
-        F.max(F.when(over & own, level(F.col("permission")))).alias("own_level"),
-    )
-
-
 def folder_grants(subject_rows: DataFrame, permissions: DataFrame) -> DataFrame:
     """``(account_id, folder_id, folder_level)``: the highest folder grant of each account."""
     return subject_rows.join(permissions, ["subject_type", "subject_id"]).groupBy("account_id", "folder_id").agg(F.max(level(F.col("permission"))).alias("folder_level"))
 
 
+def role_sets(subject_rows: DataFrame) -> DataFrame:
+    """``(account_id, roles)``: the sorted array of each account's roles (empty for none)."""
+    role = F.when(F.col("subject_type") == "role", F.col("subject_id"))
+    return subject_rows.groupBy("account_id").agg(F.sort_array(F.collect_set(role)).alias("roles"))
+
+
 def decisions(subject_rows: DataFrame, documents: DataFrame, document_permissions: DataFrame, folder_permissions: DataFrame) -> DataFrame:
     """``(account_id, doc_id, denied, override_level, folder_level, own_denied, own_level)`` for every pair that some ACL row touches.
 
-    Two aggregations and one full join by (account, document); pairs without
-    any ACL row are denied by default and stay out.
+    ACL rows of roles are folded for each distinct set of roles, not for each
+    account: that is one small aggregation, and only its result is expanded to
+    accounts, by a map-side join where the accounts are few enough to broadcast.
+    Pairs with rows of the account's own are folded apart. Pairs without any ACL
+    row are denied by default and stay out.
     """
-    direct = document_grants(subject_rows, document_permissions)
-    by_folder = folder_grants(subject_rows, folder_permissions).join(documents.select("doc_id", "folder_id"), "folder_id").select("account_id", "doc_id", "folder_level")
-    return direct.join(by_folder, ["account_id", "doc_id"], "full_outer").join(documents.select("doc_id"), "doc_id", "left_semi")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deny, over = F.col("precedence") == "deny", F.when(F.col("precedence") == "override", level(F.col("permission")))
+    docs = documents.select("doc_id", "folder_id")
+    sets = role_sets(subject_rows)
+    held = sets.select("roles").distinct().select("roles", F.explode("roles").alias("subject_id"))
+
+    def of(permissions: DataFrame, kind: str) -> DataFrame:
+        return permissions.where(F.col("subject_type") == kind)
+
+    direct = held.join(of(document_permissions, "role"), "subject_id").groupBy("roles", "doc_id").agg(F.bool_or(deny).alias("denied"), F.max(over).alias("override_level"))
+    by_folder = held.join(of(folder_permissions, "role"), "subject_id").groupBy("roles", "folder_id").agg(F.max(level(F.col("permission"))).alias("folder_level"))
+    by_folder = by_folder.join(docs, "folder_id").select("roles", "doc_id", "folder_level")
+    by_roles = direct.join(by_folder, ["roles", "doc_id"], "full_outer").join(docs.select("doc_id"), "doc_id", "left_semi")
+
+    own = subject_rows.where(F.col("subject_type") == "account").select("account_id", "subject_id")
+    own_rows = own.join(of(document_permissions, "account"), "subject_id").groupBy("account_id", "doc_id").agg(F.bool_or(deny).alias("own_denied"), F.max(over).alias("own_level"))
+    own_folders = own.join(of(folder_permissions, "account"), "subject_id").groupBy("account_id", "folder_id").agg(F.max(level(F.col("permission"))).alias("own_folder"))
+    own_folders = own_folders.join(docs, "folder_id").select("account_id", "doc_id", "own_folder")
+    own_pairs = own_rows.join(own_folders, ["account_id", "doc_id"], "full_outer").join(docs.select("doc_id"), "doc_id", "left_semi")
+
+    both = own_pairs.join(sets, "account_id").join(by_roles, ["roles", "doc_id"], "left")
+    both = both.select("account_id", "doc_id", F.greatest("denied", "own_denied").alias("denied"), F.greatest("override_level", "own_level").alias("override_level"), F.greatest("folder_level", "own_folder").alias("folder_level"), "own_denied", "own_level")
+    rest = by_roles.repartition(parts, "doc_id").join(small(sets), "roles").join(small(own_pairs.select("account_id", "doc_id")), ["account_id", "doc_id"], "left_anti")
+    rest = rest.select("account_id", "doc_id", "denied", "override_level", "folder_level", F.lit(None).cast("boolean").alias("own_denied"), F.lit(None).cast("int").alias("own_level"))
+    return rest.unionByName(both)
 
 
 def allowed(decided: DataFrame, need: str = "read", account_first: bool = False) -> DataFrame:
@@ -109,6 +129,13 @@ def dangling_subjects(permissions: DataFrame, accounts: DataFrame, roles: DataFr
     return permissions.join(known, ["subject_type", "subject_id"], "left_anti")
 
 
+def named_subjects(permissions: DataFrame, accounts: DataFrame, roles: DataFrame) -> DataFrame:
+    """Permission rows with ``subject_name``, the account's user name or the role's code (null if there is none)."""
+    known = accounts.select(F.lit("account").alias("subject_type"), F.col("account_id").alias("subject_id"), F.col("username").alias("subject_name"))
+    known = known.unionByName(roles.select(F.lit("role").alias("subject_type"), F.col("role_id").alias("subject_id"), F.col("code").alias("subject_name")))
+    return permissions.join(known, ["subject_type", "subject_id"], "left")
+
+
 def upload_scope(uploads: DataFrame, folders: DataFrame) -> DataFrame:
     """Uploads ``(upload_id, folder_id, department_id, access_scope)`` with their resolved department and scope.
 

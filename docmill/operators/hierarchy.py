@@ -1,33 +1,63 @@
 """Trees of (id, parent) rows: closures, ancestor chains, checks and subtree aggregates.
 
-The closures are recursive SQL with a depth bound, so a loop in the data ends;
-the frontier of each level is one join by the parent.
+Chains are climbed by pointer doubling: every node has a pointer some steps up,
+and each round follows all pointers by one self-join, so that a tree of depth d
+takes log2(d) joins of its nodes, whatever its width. A loop in the data ends
+after as many rounds as its nodes could need. ``key`` has no repeats.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-
-def descendants(nodes: DataFrame, root, key: str = "folder_id", parent: str = "parent_id", depth: int = 100) -> DataFrame:
-    """``(key, depth)``: the root (depth 0) and all below it, breadth first."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(key).alias("id"), F.col(parent).alias("up")).createOrReplaceTempView("_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM _tree_nodes WHERE id = {int(root)}
-        UNION ALL SELECT n.id, t.depth + 1 FROM t JOIN _tree_nodes n ON n.up = t.id WHERE t.depth < {depth}) SELECT id AS {key}, min(depth) AS depth FROM t GROUP BY id"""
-    )
-
-
-def ancestors(nodes: DataFrame, key: str = "folder_id", parent: str = "parent_id", depth: int = 100) -> DataFrame:
-    """``(key, ancestor, hops)``: every node with itself (0 hops) and all above it."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(key).alias("id"), F.col(parent).alias("up")).createOrReplaceTempView("_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE t(id, at, hops) AS (SELECT id, id, 0 FROM _tree_nodes
-        UNION ALL SELECT t.id, n.up, t.hops + 1 FROM t JOIN _tree_nodes n ON n.id = t.at WHERE n.up IS NOT NULL AND t.hops < {depth})
-        SELECT id AS {key}, at AS ancestor, min(hops) AS hops FROM t GROUP BY id, at"""
-    )
+from pyspark.sql import Column, DataFrame, functions as F
+
+from docmill.operators.lineage import cut
+
+
+def _climb(state: DataFrame, **followed: Column) -> DataFrame:
+    """Doubles the pointers ``jump`` of ``(id, jump, ...)`` until none is left or a loop must hold the rest.
+
+    followed gives the columns after a row's pointer is followed; ``_id`` and
+    the like are those of the row it points to (null: none).
+    """
+    reached = 1
+    while True:
+        for _ in range(2):  # two rounds for each checkpoint
+            there = state.select([F.col(c).alias(f"_{c}") for c in state.columns])
+            state = state.join(there, F.col("jump") == F.col("_id"), "left").select("id", *[c.alias(n) for n, c in followed.items()])
+        state, reached = cut(state), reached * 4
+        left, nodes = state.agg(F.count("jump"), F.count("*")).first()
+        if not left or reached > nodes:
+            return state
+
+
+def descendants(nodes: DataFrame, root, key: str = "folder_id", parent: str = "parent_id", depth: int | None = None) -> DataFrame:
+    """``(key, depth)``: the root (depth 0) and all below it, to any depth or down to ``depth``."""
+    top = F.col(key) == root
+    state = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.when(~top, F.col(parent)).alias("jump"), F.lit(1).alias("dist"), F.when(top, F.lit(0)).alias("hit"))
+    hit = F.coalesce("hit", F.col("dist") + F.col("_hit"))
+    found = _climb(state, jump=F.when(hit.isNull(), F.col("_jump")), dist=F.col("dist") + F.col("_dist"), hit=hit)
+    found = found.where("hit is not null").select(F.col("id").alias(key), F.col("hit").alias("depth"))
+    return found if depth is None else found.where(F.col("depth") <= depth)
+
+
+def ancestors(nodes: DataFrame, key: str = "folder_id", parent: str = "parent_id", depth: int | None = None) -> DataFrame:
+    """``(key, ancestor, hops)``: every node with itself (0 hops) and all above it (up to ``depth`` hops; the least, in a loop)."""
+    rows = nodes.where(F.col(key).isNotNull())
+    chain = rows.select(F.col(key).alias("id"), F.col(key).alias("at"), F.lit(0).alias("hops"))
+    step = rows.where(F.col(parent).isNotNull()).select(F.col(key).alias("id"), F.col(parent).alias("at"))  # nodes with those 2^k hops above
+    absent = step.select(F.col("at").alias("id")).distinct().join(rows.select(F.col(key).alias("id")), "id", "left_anti")  # a parent that is no node is an ancestor too
+    absent = absent.select("id", F.col("id").alias("at"), F.lit(0).alias("hops"))
+    most, hops = rows.count() if depth is None else depth, 1
+    while hops <= most:
+        below, above = step.toDF("low", "mid"), chain.unionByName(absent).toDF("mid", "at", "more")
+        further = below.join(above, "mid").select(F.col("low").alias("id"), "at", (F.col("more") + hops).alias("hops"))
+        chain = cut(chain.unionByName(further).groupBy("id", "at").agg(F.min("hops").alias("hops")))
+        step = cut(below.join(step.toDF("mid", "at"), "mid").select(F.col("low").alias("id"), "at"))
+        hops *= 2
+        if step.isEmpty():
+            break
+    found = chain.select(F.col("id").alias(key), F.col("at").alias("ancestor"), "hops")
+    return found if depth is None else found.where(F.col("hops") <= depth)
 
 
 def would_loop(nodes: DataFrame, moved, target, key: str = "folder_id", parent: str = "parent_id") -> DataFrame:
@@ -36,10 +66,13 @@ def would_loop(nodes: DataFrame, moved, target, key: str = "folder_id", parent:
 
 
 def visible(nodes: DataFrame, accessible: DataFrame, key: str = "folder_id", parent: str = "parent_id") -> DataFrame:
-    """Accessible nodes all of whose ancestors are accessible: one anti-join with the closure."""
-    chain = ancestors(nodes, key, parent)
-    barred = chain.join(accessible.select(F.col(key).alias("ancestor")), "ancestor", "left_anti").select(key).distinct()
-    return accessible.join(barred, key, "left_anti")
+    """Accessible nodes all of whose ancestors are accessible; what hangs on a loop or on a parent that isn't there is not visible."""
+    open_ = accessible.select(F.col(key).alias("id"), F.lit(True).alias("ok"))
+    state = nodes.select(F.col(key).alias("id"), F.col(parent).alias("jump")).join(open_, "id", "left")
+    state = state.select("id", F.when(F.col("ok"), F.col("jump")).alias("jump"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    ok = F.col("ok") & (F.col("jump").isNull() | F.coalesce("_ok", F.lit(False)))
+    found = _climb(state, jump=F.when(ok, F.col("_jump")), ok=ok).where("ok and jump is null")
+    return accessible.join(found.select(F.col("id").alias(key)), key, "left_semi")
 
 
 def roots(nodes: DataFrame, parent: str = "parent_id", of=None) -> DataFrame:

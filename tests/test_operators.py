@@ -74,9 +74,22 @@ def test_division_of_nothing(spark):
 
 def test_trees_with_a_loop_and_a_long_chain(spark):
     loop = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "folder_id long, parent_id long")
-    assert H.descendants(loop, 1, depth=10).count() == 3
-    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(60)], "folder_id long, parent_id long")
-    assert H.descendants(chain, 0).agg(F.max("depth")).first()[0] == 59
+    assert sorted(map(tuple, H.descendants(loop, 1).collect())) == [(1, 0), (2, 1), (3, 2)]
+    assert {(r.folder_id, r.ancestor): r.hops for r in H.ancestors(loop).collect()} == {(a, b): (a - b) % 3 for a in (1, 2, 3) for b in (1, 2, 3)}
+    assert H.visible(loop, loop).count() == 0
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(1000)], "folder_id long, parent_id long")
+    assert {r.folder_id: r.depth for r in H.descendants(chain, 0).collect()} == {i: i for i in range(1000)}
+    assert H.descendants(chain, 990).count() == 10 and H.descendants(chain, 5, depth=3).count() == 4 and H.descendants(chain, 5000).count() == 0
+    assert H.visible(chain, chain.where("folder_id <> 400")).count() == 400
+    assert H.would_loop(chain, 3, 700).first()[0] and not H.would_loop(chain, 700, 3).first()[0]
+    short = chain.where("folder_id < 150")
+    assert H.ancestors(short).count() == 150 * 151 // 2 and H.ancestors(short, depth=2).count() == 150 + 149 + 148
+    assert {(r.folder_id, r.ancestor, r.hops) for r in H.ancestors(chain.where("folder_id between 5 and 6")).collect()} == {(5, 5, 0), (5, 4, 1), (6, 6, 0), (6, 5, 1), (6, 4, 2)}
+
+
+def test_a_wide_and_deep_tree(spark):
+    tree = spark.range(200_000).select(F.col("id").alias("folder_id"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 2)).alias("parent_id"))
+    assert H.descendants(tree, 1).count() == 131_071
 
 
 def test_deny_wins_unless_the_account_comes_first(spark):
