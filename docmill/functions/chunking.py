@@ -10,7 +10,7 @@ text follow from each other, so they are one function of the text.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -151,6 +151,53 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 240, overlap
     return docs.select(id_col, text_col).mapInArrow(run, f"i {kind}, {SCHEMA}").withColumnRenamed("i", id_col)
 
 
-def first_word_after(spans: list[tuple[int, int]], position: int) -> int:
-    """Index of the first word that starts at or after the position."""
-    return bisect_left([s for s, _ in spans], position)
+def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, rows) -> DataFrame:
+    """``(id, *schema)``: the rows (tuples) that a function gives for each text; one narrow Arrow pass."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string() if f.split()[1] == "string" else pa.int64() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                found = [(k, r) for k, t in enumerate(part.column(1).to_pylist()) for r in rows(t or "")]
+                ids = part.column(0).take(pa.array([k for k, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for _, r in found], kind) for i, kind in enumerate(kinds))], names=["i", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"i {kind}, {schema}").withColumnRenamed("i", id_col)
+
+
+def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, word, start_char, end_char)``: every word of every text, by number, with its code-point offsets."""
+    return _per_text(docs, id_col, text_col, "word long, start_char long, end_char long", lambda t: ((k, a, b) for k, (a, b) in enumerate(word_spans(t))))
+
+
+def words_before(docs: DataFrame, id_col: str, text_col: str, positions) -> DataFrame:
+    """``(id, position, word)``: the word index of each position that ``positions(text)`` gives."""
+
+    def rows(text: str):
+        ends = [e for _, e in word_spans(text)]
+        return ((p, char_to_word(ends, p)) for p in positions(text))
+
+    return _per_text(docs, id_col, text_col, "position long, word long", rows)
+
+
+def structural_breaks(docs: DataFrame, id_col: str, text_col: str, size: int = 240) -> DataFrame:
+    """``(id, at)``: the word indexes at which a window may end."""
+    return _per_text(docs, id_col, text_col, "at long", lambda t: ((b,) for b in breaks(t, word_spans(t), size)))
+
+
+def character_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """``(id, start_char, end_char)``: overlapping character windows."""
+    return _per_text(docs, id_col, text_col, "start_char long, end_char long", lambda t: char_windows(t, size, overlap))
+
+
+def heading_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, line, level, title)``: the headings of every text."""
+    return _per_text(docs, id_col, text_col, "line long, level long, title string", headings)
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """``(id, piece, text)``: every text cut recursively at its coarsest separators."""
+    return _per_text(docs, id_col, text_col, "piece long, text string", lambda t: enumerate(split_recursive(t, size, overlap)))

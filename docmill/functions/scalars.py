@@ -47,6 +47,14 @@ def valid(kind: str, value) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def valid_by(kind, value) -> Column:
+    """Whether each row's value passes the validator that the row's kind names; null for an unknown kind."""
+    k, ok = _c(kind), F.lit(None).cast("boolean")
+    for name in (*PATTERNS, "password"):
+        ok = F.when(k == name, valid(name, value)).otherwise(ok)
+    return ok
+
+
 def extension(path) -> Column:
     """The extension with its dot, or the empty string."""
     return F.regexp_extract(_c(path), r"(\.[A-Za-z0-9]+)$", 1)

@@ -71,6 +71,12 @@ def page_info(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total_items")).withColumn("total_pages", F.ceil(F.col("total_items") / size).cast("long"))
 
 
+def page_envelope(df: DataFrame, numbers: list[int], size: int) -> DataFrame:
+    """``(number, total, pages, has_next, has_previous)`` of the asked pages of a list; one count."""
+    info = page_info(df, size).select(F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])).alias("number"), F.col("total_items").alias("total"), F.col("total_pages").alias("pages"))
+    return info.withColumns({"has_next": F.col("number") < F.col("pages"), "has_previous": F.col("number") > 1})
+
+
 def after_key(df: DataFrame, ts: str, key: str, cursor: tuple, size: int) -> DataFrame:
     """Keyset page: the rows after (ts, key) in descending order; no offset, so any page costs the same."""
     at = F.lit(cursor[0]).cast(df.schema[ts].dataType)

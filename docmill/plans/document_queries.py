@@ -73,7 +73,9 @@ def _(t):
     return c.select("doc_id", F.col("sequence").cast("long").alias("sequence"), (F.col("end_token") - F.col("start_token")).cast("long").alias("token_count"), F.md5(F.regexp_replace("text", r"\s+", " ").cast("binary")).alias("words_md5"))
 
 
-@query("r9_hashing_embedder", None)
+@query("r9_hashing_embedder", r"""WITH w AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 AS s FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents)),
+c AS (SELECT doc_id, s, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY 1, 2), v AS (SELECT doc_id, map(list(s), list(n)) AS m, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)
+SELECT doc_id, list_transform(range(64), lambda i: coalesce(m[i] / norm, CAST(0 AS DOUBLE))) AS embedding FROM documents LEFT JOIN v USING (doc_id)""")
 def _(t):
     return files.hashing_embedding(t("documents"), "doc_id", "text")
 

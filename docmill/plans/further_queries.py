@@ -69,10 +69,10 @@ def _(t):
     return R.page(t("p_folders").where("department_id = 0 AND parent_id IS NULL"), [R.asc("name"), R.asc("folder_id")], 1, 50).select("folder_id")
 
 
-@query("l7_page_envelope", o("p_documents", "SELECT count(*) AS total, CAST(ceil(count(*) / 15.0) AS BIGINT) AS pages, 3 < ceil(count(*) / 15.0) AS has_next, true AS has_previous FROM p_documents"))
+@query("l7_page_envelope", o("p_documents", """SELECT n.number, count(*) AS total, CAST(ceil(count(*) / 15.0) AS BIGINT) AS pages, n.number < ceil(count(*) / 15.0) AS has_next, n.number > 1 AS has_previous
+    FROM p_documents, (VALUES (CAST(1 AS BIGINT)), (CAST(3 AS BIGINT)), (CAST(100000 AS BIGINT))) AS n(number) GROUP BY n.number"""))
 def _(t):
-    pages = F.ceil(F.count("*") / 15).cast("long")
-    return t("p_documents").agg(F.count("*").alias("total"), pages.alias("pages"), (pages > 3).alias("has_next"), F.lit(True).alias("has_previous"))
+    return R.page_envelope(t("p_documents"), [1, 3, 100_000], 15)
 
 
 @query("l11_conversations_by_activity", o("p_messages", "SELECT conversation_id, CAST(max(turn) AS BIGINT) AS last_turn FROM p_messages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
@@ -127,10 +127,7 @@ def _(t):
 
 @query("r2_char_to_word", r"SELECT doc_id, CAST(len(regexp_extract_all(substr(text, 1, CASE WHEN substr(text, 101, 1) IN ('', ' ', chr(10)) THEN 100 ELSE 100 - length(regexp_extract(left(text, 100), '\S*$')) END), '\S+')) AS BIGINT) AS words_before FROM documents")
 def _(t):
-    inside = ~F.substring("text", 101, 1).isin("", " ", "\n")
-    head = F.left("text", F.lit(100))
-    kept = F.when(inside, F.regexp_replace(head, r"\S*\z", "")).otherwise(head)
-    return t("documents").select("doc_id", F.regexp_count(kept, F.lit(r"\S+")).cast("long").alias("words_before"))
+    return chunking.words_before(t("documents"), "doc_id", "text", lambda _: [100]).select("doc_id", F.col("word").alias("words_before"))
 
 
 @query("r5_chunk_profiles", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 260 ELSE 240 END AS size, CASE doc_id % 3 WHEN 0 THEN 40 WHEN 1 THEN 52 ELSE 48 END AS overlap FROM documents")
@@ -166,9 +163,15 @@ def _(t):
     return hits.groupBy("source").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("context"))
 
 
-@query("c6_validator_dispatch", "SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN regexp_full_match(c_name, '[a-zA-Z0-9_-]{3,30}') ELSE regexp_full_match(replace(c_name, '#', '_'), '[a-zA-Z0-9_-]{3,30}') END AS ok FROM customer")
+@query("c6_validator_dispatch", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN regexp_full_match(v, '[a-zA-Z0-9_-]{3,30}') WHEN 1 THEN regexp_full_match(v, '0[0-9]{9,10}') WHEN 2 THEN regexp_full_match(lower(v), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}') END AS ok
+    FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', CASE WHEN c_custkey % 8 = 0 THEN '_' ELSE '#' END) WHEN 1 THEN '0' || (c_custkey + 10000000) * 10 ELSE c_custkey || '@example.com' END AS v FROM customer)""")
 def _(t):
-    return t("customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, S.valid("username", "c_name")).otherwise(S.valid("username", F.replace("c_name", F.lit("#"), F.lit("_")))).alias("ok"))
+    key = F.col("c_custkey")
+    kind = F.get(F.array(*map(F.lit, ("username", "phone", "email", "other"))), (key % 4).cast("int"))
+    name = F.when(key % 8 == 0, F.replace("c_name", F.lit("#"), F.lit("_"))).otherwise(F.col("c_name"))
+    value = F.when(key % 4 == 0, name).when(key % 4 == 1, F.concat(F.lit("0"), ((key + 10_000_000) * 10).cast("string"))).otherwise(F.concat(key.cast("string"), F.lit("@example.com")))
+    rows = t("customer").select("c_custkey", kind.alias("kind"), value.alias("value"))
+    return rows.select("c_custkey", S.valid_by("kind", "value").alias("ok"))
 
 
 @query("t2_task_counts", o("p_async_tasks", "SELECT status, priority, count(*) AS n FROM p_async_tasks GROUP BY 1, 2"))

@@ -14,6 +14,36 @@ TYPES = {
 }
 
 
+def kind_of(name: Column) -> Column:
+    """The supported type that a file name's ending tells; null for others."""
+    ending = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
+    return F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[ending]
+
+
+def file_error(name: Column, size: Column, most: int = MAX_BYTES) -> Column:
+    """Why a file isn't read: its type, or its size; null if it is."""
+    return F.when(kind_of(name).isNull(), "unsupported type").when(size > most, "too large")
+
+
+def parse_docx(content: bytes) -> str:
+    """The text of a DOCX file: its paragraphs, a line each, tabs and line breaks kept."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    lines = []
+    for p in body.iter(f"{w}p"):
+        lines.append("".join(x.text or "" if x.tag == f"{w}t" else "\t" if x.tag == f"{w}tab" else "\n" for x in p.iter() if x.tag in (f"{w}t", f"{w}tab", f"{w}br")))
+    return "\n".join(lines)
+
+
+#: Parsers that come with the engine; a PDF parser is given to read_files, as no library for it is assumed.
+PARSERS = {TYPES[".docx"]: parse_docx}
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)`` of every text or markdown file below a path, each whole."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -21,15 +51,14 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, parsers: dict | None = None) -> DataFrame:
-    """``(path, mime, text, error)`` of all files: texts decoded, others by the parser for their type (bytes -> str), if one is given.
+    """``(path, mime, text, error)`` of all files: texts decoded, others by the parser for their type (bytes -> str), of PARSERS or given.
 
     A file that is too large or of no supported type has an error and no text.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    mime = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))]
-    rows = rows.select("path", "length", "content", mime.alias("mime"))
-    error = F.when(F.col("mime").isNull(), "unsupported type").when(F.col("length") > MAX_BYTES, "too large")
-    given = dict(parsers or {})
+    rows = rows.select("path", "length", "content", kind_of(F.col("path")).alias("mime"))
+    error = file_error(F.col("path"), F.col("length"))
+    given = PARSERS | dict(parsers or {})
 
     def parse(batches):
         import pandas as pd
@@ -82,7 +111,7 @@ def changed(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame
 def hashing_embedding(df: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
     """``(key, embedding)``: counts of words by hash, normalised; an offline stand-in for an embedding service."""
     words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
+    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10).cast("int") % dimension)
     zero = F.array_repeat(F.lit(0.0), dimension)
     counted = df.select(key, F.explode_outer(slots).alias("s")).groupBy(key, "s").agg(F.count("*").cast("double").alias("n"))
     pairs = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "n")))).alias("m"), F.sqrt(F.sum(F.when(F.col("s").isNotNull(), F.col("n") * F.col("n")))).alias("norm"))
