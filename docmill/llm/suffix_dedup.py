@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import cut, free, groups, key_bits, marked, slices, worker_state
+from docmill.llm.common import cut, forget, free, key_bits, marked, slices, worker_state
 from docmill.llm.shingles import _powers, mix
 
 #: Bytes by which suffixes are named and first compared.
@@ -39,6 +39,8 @@ GRAM = 32
 PIECE = 1 << 24
 #: Distinct reaches with one leading string that a task compares at most.
 HOT = 20_000
+#: Reaches that are sorted at once: so many, and the rest of the last one's run.
+SORTED = 4096
 _POSITION = np.uint64((1 << 26) - 1)
 _BYTES = np.random.default_rng(30).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -120,6 +122,26 @@ def _pieces(texts: list[bytes], length: int, longest: int) -> Iterator[tuple[lis
         yield parts, np.array(text, np.int64), np.array(base, np.int64)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Rows that are sorted by (something and) the key, ``least`` or more at a time and never cut inside a key's run."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        k = b.column(b.schema.get_field_index(key)).to_numpy()
+        if sum(x.num_rows for x in held) >= least:
+            at = np.flatnonzero(np.concatenate([[k[0] != last], k[1:] != k[:-1]]))
+            if len(at):
+                held.append(b.slice(0, at[0]))
+                yield pa.Table.from_batches(held)
+                held, b = [], b.slice(at[0])
+        held.append(b)
+        last = k[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     """Order of rows of big-endian words: three-way partitions by one word, the equal part by the next."""
     order = np.arange(len(words))
@@ -177,35 +199,33 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     meet = open_.join(cut(size), "gram").select("gram", F.col("c").alias("times"), "size", "m.*")
     meet = meet.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "offset", "gram", "times", "size")).alias("s"))
 
+    cuts = _splitters(rows, length, name, kind, parts)
+
     def reach_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 750_000, keep="powers"):
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for i, th, t, each in zip(*(b.column(k).to_pylist() for k in range(4))):
                 for s in each:
                     at = s["lo"] + s["offset"]
                     lead = int.from_bytes(t[at : at + 8], "big") - (1 << 63)
-                    row = (i, th, s["lo"], s["offset"], lead, s["times"], s["size"] > hot_size, t[s["lo"] : s["lo"] + s["n"] + length - 1])
+                    row = (i, th, s["lo"], s["offset"], lead, s["times"], s["size"] > hot_size, t[s["lo"] : s["lo"] + s["n"] + length - 1], s["gram"])
                     for c, x in zip(out, row):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.bool_()), pa.array(out[7], pa.binary())], names=["id", "th", "lo", "offset", "lead", "times", "hot", "x"])
+            bucket = np.searchsorted(np.array(cuts, np.int64), np.array(out[4], np.int64), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.bool_()), pa.array(out[7], pa.binary()), pa.array(out[8], pa.int64())], names=["bucket", "id", "th", "lo", "offset", "lead", "times", "hot", "x", "gram"])
 
-    cuts = _splitters(rows, length, name, kind, parts)
     meet = cut(meet)
     free(spark)
     key = F.xxhash64("id", "th")
     met = meet.withColumnsRenamed({"id": "mid", "th": "mth"})
-    texts = marked(rows, key, key_bits(meet, key)).join(met, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(cuts, np.int64)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column(4).to_numpy(), side="right").astype(np.int32)), *b.columns], names=["bucket", *b.schema.names])
+    texts = marked(rows, key, key_bits(meet, key)).join(met, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"bucket int, id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary, gram long")
 
-    placed = cut(texts.mapInArrow(place, f"bucket int, id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary"))
+    placed = cut(texts)
     free(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 2):
+        forget("powers")
+        for g in _runs(batches, "gram", SORTED):
             if g.num_rows < 2:
                 continue
             x, offset = g.column("x").to_pylist(), g.column("offset").to_numpy()
@@ -220,8 +240,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([g.column("id").take(at).combine_chunks(), g.column("th").take(at).combine_chunks(), pa.array(lo + begin), pa.array(lo + stop)], names=["id", "th", "lo", "stop"])
 
     span = f"id {kind}, th long, lo long, stop long"
-    cool = placed.where("not hot").select("bucket", "lead", "id", "lo", "offset", "th", "times", "hot", "x")
-    cool = cool.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "lead")
+    cool = placed.where("not hot").select("bucket", "lead", "gram", "id", "lo", "offset", "th", "times", "x")
+    cool = cool.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "lead", "gram")
     found = cool.mapInArrow(compare, span)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
