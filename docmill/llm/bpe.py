@@ -18,9 +18,9 @@ from docmill.llm.segments import SegmentCache, cut_parts
 #: Words of more bytes are merged by a heap: the recursive query has a row for each byte and step.
 LONG_WORD = 256
 #: Words that one recursive query encodes.
-WORDS_A_QUERY = 30_000
+WORDS_A_QUERY = 20_000
 #: Parts of texts that a worker remembers at most.
-PARTS = 600_000
+PARTS = 400_000
 
 #: One row a token: key = word * 4096 + byte position, id. Each step joins the
 #: neighbouring pairs with the merge table and contracts every word's leftmost
@@ -159,7 +159,7 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (rank_file, pattern)
         c = worker_state(key, lambda: ByteBpe(*key))
-        for b in slices(batches, "t", 2_000_000, keep=key):
+        for b in slices(batches, "t", 1_000_000, keep=key):
             ids, bounds = c.encode(pc.fill_null(b.column(1), ""))
             parts = [ids[lo:hi].astype("<u4").tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch([b.column(0), pa.array(parts, pa.binary()), pa.array(c.decode(ids, bounds), pa.binary())], ["i", "ids", "decoded"])

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -53,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests); on Hadoop's default file system where it names none."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if found is None:
@@ -75,21 +76,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; Spark deletes it when nothing refers to it.
-
-    Its Arrow batches have few rows, as rows hold whole texts.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside have few rows in an Arrow batch, as rows hold whole texts."""
     before = spark.conf.get(_BATCH_ROWS)
     spark.conf.set(_BATCH_ROWS, min(int(before), 2_000) if int(before) > 0 else 2_000)
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(_BATCH_ROWS, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder, where Spark's cleaner deletes it if it is told to."""
+    shared_dir(df.sparkSession)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -90,7 +90,7 @@ def _brute(rows):
     out, before = [], Counter()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for i, text, s, n in sorted(kept, key=lambda k: (hashlib.md5(f"1:{k[0]}".encode()).hexdigest(), k[0])):
+    for i, text, s, n in sorted(kept, key=lambda k: (hashlib.md5(f"1:{plan[k[2]] // tokens[k[2]]}:{k[0]}".encode()).hexdigest(), k[0])):
         copies = plan[s] // tokens[s] + (before[s] < plan[s] % tokens[s] and n > 0)
         before[s] += n
         ids = enc.encode_ordinary(text)
