@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmill.llm import language
 from docmill.llm.bpe import digests, encode_column
-from docmill.llm.common import cut, delete_path, scratch_path, table
+from docmill.llm.common import cut, delete_path, scratch_path, small_batches, table
 from docmill.llm.jaccard_join import join
 from docmill.llm.mixing import mix, n_words, weights
 from docmill.llm.suffix_dedup import remove_repeats
@@ -128,7 +128,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             delete_path(spark, before)
