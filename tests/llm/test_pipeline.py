@@ -113,7 +113,30 @@ def test_clashing_columns_nulls_and_repeats(spark):
         docs = stage(spark, docs, "")
         if name != "byte_bpe":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "_lang", "copies"]
-    assert docs.count() > 0
+        if name == "language_id":
+            assert docs.count() == 4
+        if name == "suffix_array_dedup":  # one of equal rows stays, the long text is all one repeated passage
+            want = [(1, text, "en", "a", len(text), 7, "k", 1), (None, "other words here", "en", None, 16, None, None, None)]
+            assert sorted(map(tuple, docs.collect()), key=repr) == sorted(want, key=repr)
+        if name == "source_mixing":
+            assert {(r.doc_id, r.text, r.kept) for r in docs.collect()} == {(1, text, 7), (None, "other words here", None)}
+    assert {(r.doc_id, r.decoded_sha256) for r in docs.collect()} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, text), (None, "other words here"))}
+
+
+def test_passages_of_rows_without_an_id_or_with_a_repeated_one(spark):
+    r = random.Random(8)
+    p, q, x, y, z = ("".join(r.choices("abcdefgh ", k=300)) for _ in range(5))
+    rows = [(None, x + p), (1, p + y), (1, z), (2, q), (2, q), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.remove_passages(spark, docs, "").collect())
+    assert got == Counter({(None, x, 300): 1, (1, y, 300): 1, (1, z, 300): 1, (3, "", 0): 1, (None, "", 0): 1})  # p goes in both, q wholly
+
+
+def test_coding_of_null_empty_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "ab"), (1, None), (1, ""), (2, "x"), (2, "x")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.encode_bytes(spark, docs, "").collect()))
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == [(0, 1, h("ab")), (1, 0, h("")), (1, 0, h("")), (2, 1, h("x")), (2, 1, h("x"))]
 
 
 def test_empty(spark, tmp_path):
