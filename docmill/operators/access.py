@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docmill.operators.hierarchy import ancestors
 from docmill.operators.lineage import small
 
 LEVELS = {"read": 1, "write": 2, "delete": 3}
@@ -123,6 +124,39 @@ def listed_documents(documents: DataFrame, decided: DataFrame, account, departme
     return rows.where(F.coalesce("granted", F.lit(False)) | (scope == "company") | own_department).drop("granted")
 
 
+def check_requests(requests: DataFrame, accounts: DataFrame, documents: DataFrame, folders: DataFrame, subject_rows: DataFrame, document_permissions: DataFrame, folder_permissions: DataFrame, role_accounts: DataFrame, need: str) -> DataFrame:
+    """Requests ``(request, account_id, doc_id)`` with ``allowed`` and the ``reason``, the first rule that applies.
+
+    An inactive (or unknown) account is refused, the uploader is let in, a deny
+    row refuses, an explicit grant of the level, a role of ``role_accounts``, and
+    the nearest folder grant of the level up to 10 folders above let in; nothing
+    else does. Grants are looked up for what is asked only.
+    """
+    n = LEVELS[need]
+    rows = requests.join(accounts.select("account_id", ((F.col("status") == "active") & ~F.col("is_deleted")).alias("active")), "account_id", "left")
+    rows = rows.join(documents.select("doc_id", "uploader_id", "folder_id"), "doc_id", "left")
+    deny, over = F.col("precedence") == "deny", F.when(F.col("precedence") == "override", level(F.col("permission")))
+    direct = requests.select("account_id", "doc_id").distinct().join(subject_rows, "account_id").join(document_permissions, ["doc_id", "subject_type", "subject_id"])
+    direct = direct.groupBy("account_id", "doc_id").agg(F.bool_or(deny).alias("denied"), F.max(over).alias("explicit"))
+    above = rows.select("account_id", "folder_id").distinct().join(ancestors(folders, depth=10), "folder_id").join(subject_rows, "account_id")
+    above = above.join(folder_permissions.withColumnRenamed("folder_id", "ancestor"), ["ancestor", "subject_type", "subject_id"])
+    above = above.groupBy("account_id", "folder_id", "hops").agg(F.max(level(F.col("permission"))).alias("best"))
+    above = above.groupBy("account_id", "folder_id").agg(F.min_by("best", "hops").alias("inherited"))
+    role = role_accounts.select("account_id").distinct().withColumn("by_role", F.lit(True))
+    rows = rows.join(direct, ["account_id", "doc_id"], "left").join(role, "account_id", "left").join(above, ["account_id", "folder_id"], "left")
+    reason = (
+        F.when(~F.coalesce("active", F.lit(False)), "inactive")
+        .when(F.col("uploader_id") == F.col("account_id"), "uploader")
+        .when(F.col("denied"), "deny")
+        .when(F.col("explicit") >= n, "explicit")
+        .when(F.col("by_role"), "role")
+        .when(F.col("inherited") >= n, "folder")
+        .otherwise("none")
+    )
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*requests.columns, F.col("reason").isin("uploader", "explicit", "role", "folder").alias("allowed"), "reason")
+
+
 def dangling_subjects(permissions: DataFrame, accounts: DataFrame, roles: DataFrame) -> DataFrame:
     """Permission rows whose subject is in neither table, by type."""
     known = accounts.select(F.lit("account").alias("subject_type"), F.col("account_id").alias("subject_id")).unionByName(roles.select(F.lit("role").alias("subject_type"), F.col("role_id").alias("subject_id")))

@@ -1,4 +1,4 @@
-"""Cutting the lineage of a growing plan, and broadcasting what is known to be small."""
+"""Cutting the lineage of a growing plan, spreading few partitions, and broadcasting what is known to be small."""
 
 from __future__ import annotations
 
@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has fewer partitions than there are cores (a single small file); else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """The rows with a broadcast hint if they are no more than ``most``; beyond that Spark joins by shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docmill.operators.lineage import cut
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -53,27 +57,32 @@ def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
+def _times(low: Column, term: str) -> Column:
+    """How often a text in lower case holds the term as a word; a plain search settles most texts that don't."""
+    term = term.lower()
+    if not re.fullmatch("[a-z0-9]+", term):
+        return F.lit(0)
+    return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))).otherwise(0)
+
+
 def match_all(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
     """Ids of documents with all terms: one filter on the words, no shuffle."""
-    words = F.split(F.lower(F.col(text_col)), "[^a-z0-9]+")
     hit = F.lit(True)
     for q in query:
-        hit = hit & F.array_contains(words, q.lower())
+        hit = hit & (_times(F.lower(F.col(text_col)), q) > 0)
     return docs.where(hit).select(id_col)
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(id, score)`` of documents with a query term: BM25 with ln(1 + (N - n + 0.5) / (n + 0.5)).
 
-    Only the query's terms are counted, inside each row; statistics are one
-    aggregate of as many numbers, joined back as one row.
+    Only the query's terms are counted, inside each row and in one pass over the
+    texts, whose counts are checkpointed; statistics are one aggregate of as many
+    numbers, joined back as one row.
     """
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"), lambda w: w != "")
-
-    def times(q: str) -> Column:
-        return F.size(F.filter("_w", lambda w: w == q)).cast("double")
-
-    rows = docs.select(id_col, words.alias("_w")).select(id_col, F.size("_w").cast("double").alias("_n"), *[times(q).alias(f"_t{i}") for i, q in enumerate(query)])
+    low = F.lower(F.col(text_col))
+    rows = docs.where(low.isNotNull()).select(id_col, F.regexp_count(low, F.lit("[a-z0-9]+")).cast("double").alias("_n"), *[_times(low, q).cast("double").alias(f"_t{i}") for i, q in enumerate(query)])
+    rows = cut(rows)
     stats = rows.agg(F.count("*").cast("double").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_t{i}") > 0).cast("double").alias(f"_d{i}") for i in range(len(query))])
     joined = rows.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

@@ -96,6 +96,23 @@ def _(t):
     return chain.join(grants, "ancestor").groupBy("folder_id").agg(F.min_by("folder_level", "hops").alias("level"))
 
 
+@query("a8_request_checks", o("p_accounts p_account_roles p_folders p_documents p_document_permissions p_folder_permissions p_role_permissions p_audit_logs", f"""WITH {_SUBJECTS},
+    req AS (SELECT event_id AS request, account_id, event_id % 200 AS doc_id FROM p_audit_logs WHERE action IN ('QUERY', 'DOWNLOAD')), {_CHAIN},
+    d AS (SELECT account_id, doc_id, bool_or(precedence = 'deny') AS denied, max(CASE WHEN precedence = 'override' THEN {_LEVEL.format('permission')} END) AS ov FROM s JOIN p_document_permissions USING (subject_type, subject_id) GROUP BY 1, 2),
+    g AS (SELECT account_id, folder_id AS anc, max({_LEVEL.format('permission')}) AS lv FROM s JOIN p_folder_permissions USING (subject_type, subject_id) GROUP BY 1, 2),
+    f AS (SELECT account_id, up.folder_id, arg_min(lv, hops) AS lv FROM (SELECT DISTINCT account_id, folder_id FROM req JOIN p_documents USING (doc_id)) a JOIN up USING (folder_id) JOIN g USING (account_id, anc) GROUP BY 1, 2),
+    r AS (SELECT DISTINCT account_id FROM p_account_roles JOIN p_role_permissions USING (role_id) WHERE code = 'document_delete'),
+    w AS (SELECT request, req.account_id, req.doc_id, CASE WHEN NOT coalesce(a.status = 'active' AND NOT a.is_deleted, false) THEN 'inactive' WHEN uploader_id = req.account_id THEN 'uploader' WHEN denied THEN 'deny' WHEN ov >= 2 THEN 'explicit'
+      WHEN r.account_id IS NOT NULL THEN 'role' WHEN lv >= 2 THEN 'folder' ELSE 'none' END AS reason
+      FROM req LEFT JOIN p_accounts a ON a.account_id = req.account_id LEFT JOIN p_documents p ON p.doc_id = req.doc_id LEFT JOIN d ON d.account_id = req.account_id AND d.doc_id = req.doc_id
+      LEFT JOIN r ON r.account_id = req.account_id LEFT JOIN f ON f.account_id = req.account_id AND f.folder_id = p.folder_id)
+    SELECT request, account_id, doc_id, reason IN ('uploader', 'explicit', 'role', 'folder') AS allowed, reason FROM w""", recursive=True))
+def _(t):
+    requests = t("p_audit_logs").where("action IN ('QUERY', 'DOWNLOAD')").select(F.col("event_id").alias("request"), "account_id", (F.col("event_id") % 200).alias("doc_id"))
+    by_role = t("p_account_roles").join(t("p_role_permissions").where("code = 'document_delete'"), "role_id")
+    return A.check_requests(requests, t("p_accounts"), t("p_documents"), t("p_folders"), _subjects(t), t("p_document_permissions"), t("p_folder_permissions"), by_role, "write")
+
+
 @query("a9_department_hierarchy", o("p_accounts p_departments", """WITH up(dept_id, anc) AS (SELECT dept_id, dept_id FROM p_departments UNION ALL SELECT u.dept_id, d.parent_id FROM up u JOIN p_departments d ON d.dept_id = u.anc WHERE d.parent_id IS NOT NULL)
     SELECT account_id FROM p_accounts WHERE department_id IS NULL OR department_id IN (SELECT dept_id FROM up WHERE anc = 1003)""", recursive=True))
 def _(t):

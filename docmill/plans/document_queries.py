@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.chunking import chunks
 from docmill.operators import access as A, relational as R, retrieval as V
+from docmill.operators.lineage import spread
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
 from docmill.sources import files
@@ -14,6 +15,11 @@ from docmill.streaming import audit
 _Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM p_chunks WHERE chunk_id = 0), c AS (SELECT chunk_id, doc_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS score FROM p_chunks)"
 
 
+def _texts(t):
+    """The documents' texts, over all cores."""
+    return spread(t("documents").select("doc_id", "text"))
+
+
 def _asked(t):
     return t("p_chunks").where("chunk_id = 0")
 
@@ -64,12 +70,12 @@ UNION ALL SELECT doc_id, n, bps, seq+1, e-48, coalesce(list_max(list_filter(bps,
 
 @query("r4_chunk_windows", _WINDOWS + "SELECT doc_id, CAST(seq AS BIGINT) AS sequence, CAST(s AS BIGINT) AS start_token, CAST(e AS BIGINT) AS end_token FROM t")
 def _(t):
-    return chunks(t("documents"), "doc_id", "text").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sequence", "start_token", "end_token")])
+    return chunks(_texts(t), "doc_id", "text").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sequence", "start_token", "end_token")])
 
 
 @query("r7_chunk_text", _WINDOWS + r"SELECT doc_id, CAST(seq AS BIGINT) AS sequence, CAST(e - s AS BIGINT) AS token_count, md5(list_aggregate(regexp_extract_all(text, '\S+')[s + 1:e], 'string_agg', ' ')) AS words_md5 FROM t JOIN documents USING (doc_id)")
 def _(t):
-    c = chunks(t("documents"), "doc_id", "text")
+    c = chunks(_texts(t), "doc_id", "text")
     return c.select("doc_id", F.col("sequence").cast("long").alias("sequence"), (F.col("end_token") - F.col("start_token")).cast("long").alias("token_count"), F.md5(F.regexp_replace("text", r"\s+", " ").cast("binary")).alias("words_md5"))
 
 
@@ -77,7 +83,7 @@ def _(t):
 c AS (SELECT doc_id, s, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY 1, 2), v AS (SELECT doc_id, map(list(s), list(n)) AS m, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)
 SELECT doc_id, list_transform(range(64), lambda i: coalesce(m[i] / norm, CAST(0 AS DOUBLE))) AS embedding FROM documents LEFT JOIN v USING (doc_id)""")
 def _(t):
-    return files.hashing_embedding(t("documents"), "doc_id", "text")
+    return files.hashing_embedding(_texts(t), "doc_id", "text")
 
 
 @query("r10_topk_cosine", o("p_chunks", f"WITH {_Q} SELECT chunk_id, round(score, 6) AS score FROM c WHERE label = (SELECT label FROM p_chunks WHERE chunk_id = 0) ORDER BY c.score DESC, chunk_id LIMIT 5"))
@@ -117,7 +123,7 @@ _WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w
 
 @query("r15_full_text", f"SELECT doc_id FROM documents WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'released')")
 def _(t):
-    return V.match_all(t("documents"), "doc_id", "text", ["the", "released"])
+    return V.match_all(_texts(t), "doc_id", "text", ["the", "released"])
 
 
 _BM25 = f"""WITH d AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n, CAST(len(list_filter(w, lambda x: x = 'released')) AS DOUBLE) AS t0, CAST(len(list_filter(w, lambda x: x = 'license')) AS DOUBLE) AS t1 FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
@@ -128,14 +134,14 @@ b AS (SELECT doc_id, ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1
 
 @query("r16_bm25", _BM25 + "SELECT doc_id, round(score, 6) AS score FROM b WHERE score > 0")
 def _(t):
-    return V.bm25(t("documents"), "doc_id", "text", ["released", "license"]).select("doc_id", F.round("score", 6).alias("score"))
+    return V.bm25(_texts(t), "doc_id", "text", ["released", "license"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("r16_hybrid_fusion", o("p_chunks", f"""{_BM25.replace('WITH d', f'WITH {_Q}, d')}, v AS (SELECT doc_id, max(round(score, 9)) AS score FROM c GROUP BY doc_id),
     r1 AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM b WHERE score > 0 QUALIFY r <= 100), r2 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM v QUALIFY r <= 100)
     SELECT doc_id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY doc_id"""))
 def _(t):
-    words = V.bm25(t("documents"), "doc_id", "text", ["released", "license"]).select("doc_id", F.round("score", 9).alias("score"))
+    words = V.bm25(_texts(t), "doc_id", "text", ["released", "license"]).select("doc_id", F.round("score", 9).alias("score"))
     vectors = V.scored(t("p_chunks"), _asked(t)).groupBy("doc_id").agg(F.max(F.round("score", 9)).alias("score"))
     return V.fuse([words, vectors], "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
