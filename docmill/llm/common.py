@@ -11,6 +11,8 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from docmill.operators.lineage import spread
+
 #: Characters of text that one Python batch holds at most (one longer text makes a batch alone).
 BATCH_CHARS = 4_000_000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -49,8 +51,9 @@ def forget(keep=None) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables; texts and vectors over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "embeddings") else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
