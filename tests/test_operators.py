@@ -161,3 +161,66 @@ def test_streams(spark, tmp_path):
     q = windows.writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.account_id, r.attempts) for r in spark.sql("SELECT * FROM windows").collect()] == [(1, 8)]
+
+
+def test_uploads_arrive_as_a_stream(spark, tmp_path):
+    from docmill.streaming import uploads
+
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, "one two three"), (2, " "), (3, "bad words")], schema).write.parquet(f"{tmp_path}/in/a")
+    embedder = lambda texts: [None if "bad" in t else [float(len(t)), 0.0] for t in texts]
+    for extra in ([], [(4, "four")]):
+        if extra:
+            spark.createDataFrame(extra, schema).write.parquet(f"{tmp_path}/in/b")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        uploads.process(stream, "doc_id", "text", embedder, 2, f"{tmp_path}/points", f"{tmp_path}/status", f"{tmp_path}/ck").awaitTermination()
+    assert {(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/points").collect()} == {(1, "one two three"), (4, "four")}
+    assert {(r.doc_id, r.status) for r in spark.read.parquet(f"{tmp_path}/status").collect()} == {(1, "completed"), (2, "failed"), (3, "failed"), (4, "completed")}
+
+
+def test_a_table_is_rebuilt_at_ticks(spark, tmp_path):
+    from docmill.streaming import uploads
+
+    q = uploads.refresh(spark, lambda: spark.range(3), f"{tmp_path}/t", f"{tmp_path}/ck", "1 second")
+    try:
+        q.processAllAvailable()
+        assert spark.read.parquet(f"{tmp_path}/t").where("version = 0").count() == 3
+    finally:
+        q.stop()
+
+
+def test_docx_and_unsupported_files(spark, tmp_path):
+    import zipfile
+
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>Three</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "b.MD").write_text("# Ü")
+    (tmp_path / "c.exe").write_bytes(b"x")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": ("One\ttwo\nThree", None), "b.MD": ("# Ü", None), "c.exe": (None, "unsupported type"), "d.pdf": (None, "no parser")}
+
+
+def test_a_failed_batch_spoils_no_other_row(spark):
+    from docmill.operators import ingest as I
+
+    def call(values):
+        if "x" in values:
+            raise I.ServiceError(400, "refused")
+        return [v.upper() for v in values]
+
+    got = I.called(spark.createDataFrame([("a",), ("x",), ("b",)], "v string").coalesce(1), "v", call, wait=0.0).collect()
+    assert sorted((r.v, r.result, r.error) for r in got) == [("a", "A", None), ("b", "B", None), ("x", None, "400 refused")]
+
+
+def test_an_upsert_of_another_dimension_fails(spark):
+    from docmill.sources import store
+
+    schema = "point_id long, embedding array<float>, payload map<string,string>"
+    points = spark.createDataFrame([(1, [1.0, 2.0], {"a": "1", "b": "1"}), (2, [0.0, 1.0], None)], schema)
+    new = spark.createDataFrame([(1, None, {"a": "2"}), (3, [5.0, 5.0], {"c": "3"})], schema)
+    got = {r.point_id: (r.embedding, r.payload) for r in store.upsert_points(points, new, 2).collect()}
+    assert got == {1: ([1.0, 2.0], {"a": "2", "b": "1"}), 2: ([0.0, 1.0], {}), 3: ([5.0, 5.0], {"c": "3"})}
+    with pytest.raises(Exception, match="dimension"):
+        store.upsert_points(points, spark.createDataFrame([(1, [1.0], None)], schema), 2).collect()
