@@ -51,9 +51,13 @@ def forget(keep=None) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; texts and vectors over all cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "embeddings") else rows
+    """One of the input tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the input tables, over all cores however few its files: for work in Python."""
+    return spread(table(spark, sf_dir, name))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,10 +111,9 @@ def key_bits(keys: DataFrame, hashed: Column):
     """A broadcast table of 2^24 bits (2 MB, whatever the number of keys) with those of the keys' 64-bit hashes set."""
     import numpy as np
 
-    rows = keys.select(hashed.alias("h")).groupBy(F.shiftrightunsigned("h", 46).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).collect()
+    rows = keys.select(hashed.alias("h")).groupBy(F.shiftrightunsigned("h", 46).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toArrow()
     bits = np.zeros(1 << 18, np.int64)
-    for r in rows:
-        bits[r.w] = r.b
+    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docmill.llm import ann, language, toxicity
 from docmill.llm.bpe import digests, encode_column
-from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table
+from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table, wide_table
 from docmill.llm.embedding_dedup import links
 from docmill.llm.jaccard_join import join
 from docmill.llm.mixing import blocks, mix, n_words, weights
@@ -39,7 +39,7 @@ def _held_out(rest) -> Column:
 @_query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document by the 32k SentencePiece model."""
-    found = count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    found = count_tokens(wide_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chunks")
 
 
@@ -48,13 +48,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document by the 50k ranks, and the bytes that the ids decode to, as digests."""
     import public_tokenizers
 
-    return digests(encode_column(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return digests(encode_column(wide_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document; learned from the labels outside the held-out fifth."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     found = toxicity.score(docs, toxicity.fit(docs, known.where(crc_mod("doc_id", 5) != 0)))
     return found.select("doc_id", _held_out(crc_mod("doc_id", 5) == 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -63,19 +63,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95 or more."""
-    return links(table(spark, sf_dir, "embeddings"), 0.95)
+    return links(wide_table(spark, sf_dir, "embeddings"), 0.95)
 
 
 @_query
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
-    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+    return ann.search(wide_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
 @_query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes every byte of a 200-byte string that starts elsewhere too, from all documents."""
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    found = remove_repeats(wide_table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -125,7 +125,7 @@ SELECT doc_id, source, n AS n_tokens, copies, block, md5(concat_ws(':', '1', blo
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents (word BPE, end id 2) to token files and returns what the files hold."""
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents")
     path, model = scratch_path(spark, "tokens"), _tokenizer("word_bpe_49k.json")
     encoded, dtype = encode_documents(docs, model, end_id=2), id_type(model)
     write_tokens(encoded, docs, path, parts=int(spark.conf.get("spark.sql.shuffle.partitions")), dtype=dtype)
@@ -137,7 +137,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document; learned outside the held-out third."""
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs.where(crc_mod("doc_id", 3) != 1)))
     return found.select("doc_id", _held_out(crc_mod("doc_id", 3) == 1), "lang_pred", "score")
 
@@ -145,7 +145,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles at a Jaccard similarity of 0.85."""
-    return join(table(spark, sf_dir, "documents"), 4, 85)
+    return join(wide_table(spark, sf_dir, "documents"), 4, 85)
 
 
 @_query
