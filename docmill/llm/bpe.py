@@ -17,8 +17,8 @@ from docmill.llm.segments import SegmentCache, cut_parts
 
 #: Words of more bytes are merged by a heap: the recursive query has a row for each byte and step.
 LONG_WORD = 256
-#: Words that one recursive query encodes.
-WORDS_A_QUERY = 20_000
+#: What one recursive query encodes at most: the sum of its words' squared bytes, as a word of n bytes has up to n * n / 2 rows.
+ROWS_A_QUERY = 1_000_000
 #: Parts of texts that a worker remembers at most.
 PARTS = 400_000
 
@@ -83,8 +83,12 @@ class ByteBpe:
                 out[i] = np.array([self.ranks[w]], np.uint32)
             elif len(w) > LONG_WORD:
                 out[i] = self._merge_long(w)
-        for lo in range(0, len(short), WORDS_A_QUERY):
-            block = short[lo : lo + WORDS_A_QUERY]
+        place = np.cumsum([len(words[i]) ** 2 for i in short], dtype=np.int64) // ROWS_A_QUERY
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(short)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            block = short[lo:hi]
+            if not block:
+                continue
             n = np.array([len(words[i]) for i in block])
             word = np.repeat(np.arange(len(block), dtype=np.int64), n)
             pos = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
