@@ -13,6 +13,7 @@ from docmill.llm.divergence import divergence
 from docmill.llm.embedding_dedup import links
 from docmill.llm.jaccard_join import join
 from docmill.llm.mixing import blocks, mix, n_words, weights
+from docmill.llm.ranked_search import asked_terms, build_index, read_index, search
 from docmill.llm.suffix_dedup import remove_repeats
 from docmill.llm.token_count import count_tokens
 from docmill.llm.token_files import digest, encode_documents, id_type, read_tokens, write_tokens
@@ -149,15 +150,40 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(wide_table(spark, sf_dir, "documents"), 4, 85)
 
 
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest-scoring documents of all for each benchmark item."""
+    path = scratch_path(spark, "postings")
+    build_index(wide_table(spark, sf_dir, "documents"), path)
+    found = cut(search(read_index(spark, path), asked_terms(table(spark, sf_dir, "benchmark")), 10))
+    delete_path(spark, path)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ORACLE["op11_ranked_search"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+t AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w) * docs) // words AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM t JOIN w USING (term) JOIN m USING (r)),
+f AS (SELECT item_id, r, CAST(sum(part) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM f JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 @_query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart in their terms, and the terms that tell each source."""
     return divergence(wide_table(spark, sf_dir, "documents"))
 
 
-_ORACLE["op13_source_divergence"] = """
+_ORACLE["op13_source_divergence"] = f"""
 WITH d AS MATERIALIZED (
-  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
 held AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
 c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN held USING (lang, term) GROUP BY ALL),
