@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docmill.llm import ann, language, toxicity
+from docmill.llm import ann, language, quality, toxicity
 from docmill.llm.bpe import digests, encode_column
 from docmill.llm.common import crc_mod, cut, delete_path, scratch_path, table, wide_table
 from docmill.llm.divergence import divergence
@@ -175,6 +175,15 @@ FROM f JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 10
 """
 
 
+@_query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document; learned from the labels outside the held-out third."""
+    docs, labels = wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    found = quality.score(docs, quality.fit(docs, known.where(crc_mod("doc_id", 3) != 1)))
+    return found.select("doc_id", _held_out(crc_mod("doc_id", 3) == 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart in their terms, and the terms that tell each source."""
