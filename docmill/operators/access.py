@@ -157,6 +157,33 @@ def check_requests(requests: DataFrame, accounts: DataFrame, documents: DataFram
     return rows.select(*requests.columns, F.col("reason").isin("uploader", "explicit", "role", "folder").alias("allowed"), "reason")
 
 
+def document_keys(documents: DataFrame, document_permissions: DataFrame, need: str = "read") -> DataFrame:
+    """``(doc_id, keys, denied)``: the keys any of which opens a document, and those any of which shuts it; sorted arrays.
+
+    The key of its scope (of the company, its department or its uploader), and
+    those of the accounts and roles with an override of the level. Documents of
+    a department also have the key of accounts without one. An array is as long
+    as the document has ACL rows.
+    """
+    subject = F.concat(F.when(F.col("subject_type") == "role", "r:").otherwise("a:"), F.col("subject_id").cast("string"))
+    over = (F.col("precedence") == "override") & (level(F.col("permission")) >= LEVELS[need])
+    rows = document_permissions.groupBy("doc_id").agg(F.collect_set(F.when(over, subject)).alias("_open"), F.collect_set(F.when(F.col("precedence") == "deny", subject)).alias("_shut"))
+    scope, text = F.col("access_scope"), lambda c: F.col(c).cast("string")
+    own = F.when(scope == "company", F.array(F.lit("company"))).when(scope == "department", F.array(F.concat(F.lit("d:"), F.coalesce(text("department_id"), F.lit(""))), F.lit("d:*"))).when(scope == "personal", F.array(F.concat(F.lit("u:"), F.coalesce(text("uploader_id"), F.lit("")))))
+    none = F.array().cast("array<string>")
+    found = documents.join(rows, "doc_id", "left")
+    return found.select("doc_id", F.array_sort(F.array_union(F.coalesce(own, none), F.coalesce("_open", none))).alias("keys"), F.array_sort(F.coalesce("_shut", none)).alias("denied"))
+
+
+def account_keys(accounts: DataFrame, account_roles: DataFrame) -> DataFrame:
+    """``(account_id, keys)``: the keys that an account holds, for document_keys; a sorted array."""
+    roles = account_roles.groupBy("account_id").agg(F.collect_set(F.concat(F.lit("r:"), F.col("role_id").cast("string"))).alias("_roles"))
+    me, none = F.col("account_id").cast("string"), F.array().cast("array<string>")
+    department = F.concat(F.lit("d:"), F.coalesce(F.col("department_id").cast("string"), F.lit("*")))
+    own = F.array(F.lit("company"), department, F.concat(F.lit("u:"), me), F.concat(F.lit("a:"), me))
+    return accounts.join(roles, "account_id", "left").select("account_id", F.array_sort(F.array_union(own, F.coalesce("_roles", none))).alias("keys"))
+
+
 def dangling_subjects(permissions: DataFrame, accounts: DataFrame, roles: DataFrame) -> DataFrame:
     """Permission rows whose subject is in neither table, by type."""
     known = accounts.select(F.lit("account").alias("subject_type"), F.col("account_id").alias("subject_id")).unionByName(roles.select(F.lit("role").alias("subject_type"), F.col("role_id").alias("subject_id")))

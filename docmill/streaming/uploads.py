@@ -30,3 +30,15 @@ def refresh(spark: SparkSession, rebuild: Callable[[], DataFrame], path: str, ch
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(1).alias("tick"))
     writer = ticks.writeStream.foreachBatch(lambda _, n: rebuild().write.mode("overwrite").parquet(f"{path}/version={n}"))
     return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The largest whole version of a table that refresh rebuilds; fails if there is none yet."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("version=")]
+    whole = [int(n[8:]) for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    if not whole:
+        raise FileNotFoundError(f"no whole version below {path}")
+    return spark.read.parquet(f"{path}/version={max(whole)}")

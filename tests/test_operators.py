@@ -2,6 +2,8 @@
 
 import random
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,12 +183,21 @@ def test_uploads_arrive_as_a_stream(spark, tmp_path):
 def test_a_table_is_rebuilt_at_ticks(spark, tmp_path):
     from docmill.streaming import uploads
 
-    q = uploads.refresh(spark, lambda: spark.range(3), f"{tmp_path}/t", f"{tmp_path}/ck", "1 second")
+    made = []
+
+    def rebuild():
+        made.append(1)
+        return spark.range(len(made) + 2)
+
+    q = uploads.refresh(spark, rebuild, f"{tmp_path}/t", f"{tmp_path}/ck", "1 second")
+    end = time.time() + 120
     try:
-        q.processAllAvailable()
-        assert spark.read.parquet(f"{tmp_path}/t").where("version = 0").count() == 3
+        while not (tmp_path / "t" / "version=1" / "_SUCCESS").exists() and time.time() < end and q.exception() is None:
+            time.sleep(0.2)
     finally:
         q.stop()
+    assert uploads.newest(spark, f"{tmp_path}/t").count() >= 4
+    assert spark.read.parquet(f"{tmp_path}/t/version=0").count() == 3
 
 
 def test_docx_and_unsupported_files(spark, tmp_path):
