@@ -32,7 +32,8 @@ def _unit(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     if good.any():
         out[good] = column.filter(pa.array(good)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimension)
     norm = np.sqrt((out * out).sum(1))
-    return np.where((np.isfinite(norm) & (norm > 0))[:, None], out / np.where(norm > 0, norm, 1)[:, None], np.nan)
+    out[~(np.isfinite(norm) & (norm > 0))] = np.nan
+    return out / np.where(norm > 0, norm, 1)[:, None]
 
 
 def _kept(score: np.ndarray, k: int) -> np.ndarray:

@@ -25,7 +25,7 @@ def _brute(questions, chunks, k, threshold=None):
 
 
 def _rows(r, n, m):
-    vector = lambda: [float(r.randrange(-3, 4)) for _ in range(4)]
+    vector = lambda: [r.randrange(-3000, 3000) / 64 for _ in range(4)]
     some = lambda *x: [y for y in x if r.random() < 0.4]
     questions = [(i, vector(), some("a", "b", "c", "d")) for i in range(n)]
     chunks = [(i, vector(), some("a", "b", "c"), some("c", "d")) for i in range(m)]
