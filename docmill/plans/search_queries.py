@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docmill.operators import access as A, knn, relational as R
+from docmill.operators.lineage import cut, delete, scratch, spread
+from docmill.operators.text_index import STOP_WORDS, TextIndex
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
 from docmill.sources import files
@@ -59,3 +61,51 @@ def _(t):
     texts = t("p_chunks").select("chunk_id", "doc_id").join(t("documents").select("doc_id", F.left("text", F.lit(200)).alias("text")), "doc_id")
     turns = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"))
     return knn.answers(turns, _permitted(t), texts)
+
+
+def _stem(w: str) -> str:
+    """DuckDB SQL of text_index.bare and singular."""
+    one = f"CASE WHEN regexp_matches({w}, '[^aeiou]ies$') THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '(ss|x|ch|sh|zz)es$') THEN regexp_replace({w}, 'es$', '') WHEN regexp_matches({w}, '[^su]s$') AND length({w}) > 3 THEN regexp_replace({w}, 's$', '') ELSE {w} END"
+    return f"(SELECT CASE WHEN regexp_matches(x, '^.*[aeiouy].*[a-z]ing$') AND length(x) > 5 THEN regexp_replace(x, 'ing$', '') WHEN regexp_matches(x, '^.*[aeiouy].*[a-z]ed$') AND length(x) > 4 THEN regexp_replace(x, 'ed$', '') ELSE x END FROM (SELECT {one} AS x))"
+
+
+_POSTINGS = f"""w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+p AS MATERIALIZED (SELECT doc_id, pos, {_stem('word')} AS term FROM x WHERE word NOT IN ({', '.join(repr(s) for s in STOP_WORDS)}))"""
+
+
+def _indexed(t, ask) -> DataFrame:
+    """The answer of an index of all documents that stands while it is asked; half of them come by a later addition."""
+    docs, path = spread(t("documents").select("doc_id", "text")), scratch(t.spark, "text-index")
+    index = TextIndex(t.spark, path)
+    index.add(docs.where("doc_id % 2 = 0"), "doc_id", "text")
+    index.add(docs.where("doc_id % 2 = 1"), "doc_id", "text")
+    found = cut(ask(index))
+    delete(t.spark, path)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("r15_index_all_terms", f"WITH {_POSTINGS} SELECT doc_id FROM p WHERE term IN ('licens', 'license') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
+def _(t):
+    return _indexed(t, lambda index: index.all_of("Licensed by the licenses"))
+
+
+@query("r15_index_phrase", f"WITH {_POSTINGS} SELECT a.doc_id, CAST(count(*) AS INTEGER) AS times FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 2 AND a.term = 'licens' AND b.term = 'cc' GROUP BY 1")
+def _(t):
+    return _indexed(t, lambda index: index.phrase("Licensed under CC"))
+
+
+_INDEX_BM25 = f"""WITH {_POSTINGS}, n AS (SELECT doc_id, count(pos) AS n FROM documents LEFT JOIN p USING (doc_id) GROUP BY 1), s AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(n) AS mean FROM n),
+tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM p WHERE term IN ('apache', 'license', 'releas') GROUP BY 1, 2), df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
+b AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN df USING (term) JOIN n USING (doc_id), s GROUP BY 1)
+SELECT doc_id, round(score, 9) AS score FROM b"""
+
+
+@query("r16_index_bm25", _INDEX_BM25)
+def _(t):
+    return _indexed(t, lambda index: index.bm25("Apache licenses released")).withColumn("score", F.round("score", 9))
+
+
+@query("r16_index_best", f"{_INDEX_BM25} ORDER BY b.score DESC, doc_id LIMIT 25")
+def _(t):
+    return _indexed(t, lambda index: index.bm25("Apache licenses released", 25, first_cells=1)).withColumn("score", F.round("score", 9))
