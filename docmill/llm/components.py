@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.greatest("v", "m").alias("a"), "m", "u")
         small = small.select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small)
-        new = now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.hash("u", "v").cast("long"))).first()
+        new = now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == state:
             break
         state = new
