@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmill.operators import access as A, hierarchy as H, relational as R
+from docmill.operators import access as A, cache as K, hierarchy as H, relational as R
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
 
@@ -144,6 +144,23 @@ def _(t):
     return cache.groupBy("account_id").agg(F.count("*").alias("rows"), F.max("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
+@query("a14_cache_refreshed", o(_ACL, _DECIDED + "SELECT account_id, doc_id, denied, ov AS override_level, lv AS folder_level FROM x WHERE account_id % 4 = 1"))
+def _(t):
+    """A cache of older grants, brought up to date by what has changed since: the documents' and folders' grants, and a role's members."""
+    accounts, docs = R.base_scan(t("p_accounts")).where("account_id % 4 = 1"), t("p_documents")
+    grants, folder_grants, roles = t("p_document_permissions"), t("p_folder_permissions"), t("p_account_roles")
+    before = grants.where("doc_id % 35 <> 0").withColumn("precedence", F.when(F.col("doc_id") % 55 == 0, "override").otherwise(F.col("precedence")))
+    folders_before, roles_before = folder_grants.where("folder_id % 20 <> 0"), roles.where("not (account_id % 9 = 0 and role_id = 1)")
+    old = A.subjects(accounts, roles_before)
+    cached = A.decisions(old, docs, before, folders_before)
+    now = A.subjects(accounts, roles)
+    either = old.unionByName(now).distinct()
+    mine = K.changed(roles_before, roles).join(accounts.select("account_id"), "account_id", "left_semi")
+    pairs = K.touched(either, docs, K.changed(before, grants), K.changed(folders_before, folder_grants), mine, None, grants.unionByName(before), folder_grants.unionByName(folders_before))
+    fresh = K.refresh(cached, pairs, now, docs, grants, folder_grants)
+    return fresh.select("account_id", "doc_id", F.coalesce("denied", F.lit(False)).alias("denied"), "override_level", "folder_level")
+
+
 @query("a15_upload_scope", o("p_documents p_folders", """SELECT doc_id AS upload_id, folder_id, CASE WHEN f.folder_id IS NOT NULL THEN f.department_id ELSE d.department_id END AS department_id,
     CASE WHEN f.folder_id IS NOT NULL AND f.department_id IS NOT NULL THEN f.access_scope WHEN f.folder_id IS NOT NULL THEN 'company' ELSE coalesce(d.scope, CASE WHEN d.department_id IS NOT NULL THEN 'department' ELSE 'company' END) END AS access_scope
     FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN folder_id END AS folder_id, CASE WHEN doc_id % 3 = 0 THEN department_id END AS department_id, CASE WHEN doc_id % 5 = 0 THEN 'personal' END AS scope FROM p_documents) d LEFT JOIN p_folders f USING (folder_id)"""))

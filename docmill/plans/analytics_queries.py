@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from docmill.operators import hierarchy as H, relational as R
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
+from docmill.streaming import queue
 
 
 @query("g1_count", o("p_documents", "SELECT count(*) AS n FROM p_documents WHERE status = 'failed'"))
@@ -222,3 +223,17 @@ def _(t):
     from docmill.streaming.tasks import compare_and_set
 
     return compare_and_set(t("p_async_tasks").where("status = 'pending'"), "retry_count", 2, status="processing").agg(F.count_if(F.col("status") == "processing").alias("updated"))
+
+
+@query("t3_queue_states", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ts AS tick,
+    CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'start' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS kind FROM events),
+r AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS rn, '' AS status, 0 AS attempts, CAST(NULL AS TIMESTAMP) AS retry FROM e
+  UNION ALL
+  SELECT task_id, rn, CASE WHEN kind = 'create' AND w = '' THEN 'pending' WHEN kind = 'start' AND w = 'pending' THEN 'running' WHEN kind = 'complete' AND w = 'running' THEN 'completed' WHEN fails AND attempts >= 2 THEN 'failed' WHEN fails THEN 'retrying' ELSE w END,
+    attempts + CAST(fails AS INTEGER), CASE WHEN fails AND attempts < 2 THEN tick + to_minutes(5 * CAST(pow(2, attempts + 1) AS BIGINT)) WHEN fails OR w <> status THEN NULL ELSE retry END
+  FROM (SELECT *, kind = 'fail' AND w = 'running' AS fails FROM (SELECT e.task_id, e.rn, e.tick, e.kind, r.status, r.attempts, r.retry, CASE WHEN r.status = 'retrying' AND r.retry <= e.tick THEN 'pending' ELSE r.status END AS w FROM r JOIN e ON e.task_id = r.task_id AND e.rn = r.rn + 1)))
+SELECT task_id, status, attempts, retry AS next_retry_at FROM r WHERE status <> '' QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY rn DESC) = 1""")
+def _(t):
+    kind = F.create_map(*[F.lit(x) for x in ("signup", "create", "view", "start", "click", "progress", "purchase", "complete")])
+    events = t("events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("fail")).alias("kind"), F.col("value").alias("percent"))
+    return queue.states(queue.replay(events)).withColumn("next_retry_at", F.col("next_retry_at").cast("timestamp_ntz"))
