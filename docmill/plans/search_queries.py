@@ -10,6 +10,7 @@ from docmill.operators.text_index import STOP_WORDS, TextIndex
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
 from docmill.sources import files
+from docmill.sources.collection import Collection
 
 #: User turns as questions of an account, embedded offline; conversations have fewer than 1,000 turns.
 _QUESTIONS = r"""qt AS (SELECT conv_id * 1000 + turn AS question_id, conv_id % 150 + 1 AS account_id, text FROM conversations WHERE role = 'user'),
@@ -109,3 +110,18 @@ def _(t):
 @query("r16_index_best", f"{_INDEX_BM25} ORDER BY b.score DESC, doc_id LIMIT 25")
 def _(t):
     return _indexed(t, lambda index: index.bm25("Apache licenses released", 25, first_cells=1)).withColumn("score", F.round("score", 9))
+
+
+@query("s15_collection_versions", o("p_chunks", "SELECT chunk_id AS point_id, CASE WHEN chunk_id % 5 = 0 THEN 'again' ELSE 'first' END AS batch, CAST(label AS VARCHAR) AS label, round(CAST(embedding[1] AS DOUBLE), 6) AS first_number FROM p_chunks WHERE label <> 2 AND chunk_id % 11 <> 3"))
+def _(t):
+    """Points put in twice, deleted by payload and by id, and compacted: what the last version holds."""
+    path = scratch(t.spark, "collection")
+    held = Collection(t.spark, path, 64)
+    points = lambda batch: t("p_chunks").select(F.col("chunk_id").alias("point_id"), "embedding", F.create_map(F.lit("batch"), F.lit(batch), F.lit("label"), F.col("label").cast("string")).alias("payload"))
+    held.put(points("first"))
+    held.put(points("again").where("point_id % 5 = 0"))
+    held.delete_where({"label": "2"})
+    held.compact(held.delete(t("p_chunks").where("chunk_id % 11 = 3").select("chunk_id")))
+    found = cut(held.read().select("point_id", F.col("payload.batch").alias("batch"), F.col("payload.label").alias("label"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_number")))
+    delete(t.spark, path)
+    return found
