@@ -154,7 +154,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 240, overlap
 def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, rows) -> DataFrame:
     """``(id, *schema)``: the rows (tuples) that a function gives for each text; one narrow Arrow pass."""
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.string() if f.split()[1] == "string" else pa.int64() for f in schema.split(", ")]
+    kinds = [{"string": pa.string(), "array<string>": pa.list_(pa.string())}.get(f.split()[1], pa.int64()) for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

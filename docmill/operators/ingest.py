@@ -88,6 +88,36 @@ def ingest(docs: DataFrame, id_col: str, text_col: str, embedder: Callable[[list
     return points.select(id_col, "sequence", "start_token", "end_token", "text", F.col("result").alias("embedding")), status
 
 
+def reingest(stored: DataFrame, docs: DataFrame, id_col: str, text_col: str, embedder: Callable[[list], list], dimension: int, size: int = 240, overlap: int = 48, **retry) -> tuple[DataFrame, DataFrame]:
+    """The stored points after documents have changed, and each one's outcome: ``(id, status, error, kept, embedded)``.
+
+    stored are points of ingest. A chunk whose text the document had before
+    keeps its vector, wherever it stands now; of all other texts each distinct
+    one reaches the embedder once, however many documents have it. A document
+    is replaced whole, or keeps its old points if one chunk fails; documents
+    that aren't in ``docs`` stay, and one without text fails. The result holds
+    what a fresh ingest of the same texts would.
+    """
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    h = F.sha2(F.col("text").cast("binary"), 256)
+    pieces = cut(chunks(docs, id_col, text_col, size, overlap).select(id_col, "sequence", "start_token", "end_token", "text").withColumn("h", h))
+    known = stored.select(id_col, h.alias("h"), F.col("embedding").alias("old")).groupBy(id_col, "h").agg(F.first("old").alias("old"))
+    joined = pieces.join(known, [id_col, "h"], "left")
+    new = joined.where("old is null").select("h", "text").dropDuplicates(["h"])
+    done = called(new, "text", embedder, ArrayType(DoubleType()), **retry)
+    wrong = F.when(F.col("result").isNotNull() & (F.size("result") != dimension), "wrong dimension")
+    done = cut(done.select("h", "result", F.coalesce("error", wrong).alias("error")))
+    full = joined.join(done, "h", "left").withColumn("error", F.when(F.col("old").isNull(), F.col("error")))
+    by_doc = full.groupBy(id_col).agg(F.min("error").alias("error"), F.count("old").alias("kept"), F.count_if(F.col("old").isNull()).alias("embedded"))
+    status = docs.select(id_col).distinct().join(by_doc, id_col, "left")
+    failed = F.col("kept").isNull() | F.col("error").isNotNull()
+    status = cut(status.select(id_col, F.when(failed, "failed").otherwise("completed").alias("status"), F.when(F.col("kept").isNull(), "no text").otherwise(F.col("error")).alias("error"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("embedded", F.lit(0)).alias("embedded")))
+    fine = status.where("status = 'completed'").select(id_col)
+    made = full.join(fine, id_col, "left_semi").select(id_col, "sequence", "start_token", "end_token", "text", F.coalesce("old", "result").alias("embedding"))
+    return stored.join(fine, id_col, "left_anti").select(*made.columns).unionByName(made), status
+
+
 def transitions(status: DataFrame, id_col: str) -> DataFrame:
     """``(id, step, from_status, to_status)``: what the driver of the upload path writes, pending -> processing -> completed or failed."""
     steps = F.array(

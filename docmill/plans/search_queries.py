@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.operators import access as A, knn, relational as R
+from docmill.functions import outline
+from docmill.operators import access as A, ingest as I, knn, relational as R
+from docmill.operators.journal import UploadJournal
 from docmill.operators.lineage import cut, delete, scratch, spread
 from docmill.operators.text_index import STOP_WORDS, TextIndex
 from docmill.plans.proxies import oracle as o
@@ -125,3 +127,60 @@ def _(t):
     found = cut(held.read().select("point_id", F.col("payload.batch").alias("batch"), F.col("payload.label").alias("label"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_number")))
     delete(t.spark, path)
     return found
+
+
+_DOTTED = r"'^(\d+(?:\.\d+)*)\.?\s+(\S.{0,80})$'"
+_OUTLINE = rf"""WITH RECURSIVE d AS (SELECT conv_id, string_agg(repeat('#', CAST(1 + turn % 3 AS INTEGER)) || ' ' || left(replace(text, chr(10), ' '), 30) || chr(10) || text, chr(10) ORDER BY turn) AS doc FROM conversations GROUP BY 1),
+l AS (SELECT conv_id, unnest(string_split(doc, chr(10))) AS raw, unnest(range(len(string_split(doc, chr(10))))) AS line FROM d), s AS (SELECT *, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') AS t FROM l),
+h AS MATERIALIZED (SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY line) AS section,
+  CASE WHEN regexp_matches(t, '^#{{1,6}}\s+.+') THEN length(regexp_extract(t, '^(#{{1,6}})', 1)) WHEN regexp_matches(t, {_DOTTED}) THEN len(string_split(regexp_extract(t, {_DOTTED}, 1), '.')) ELSE 1 END AS level,
+  CASE WHEN regexp_matches(t, '^#{{1,6}}\s+.+') THEN regexp_extract(t, '^#{{1,6}}\s+(.+)', 1) WHEN regexp_matches(t, {_DOTTED}) THEN regexp_extract(t, {_DOTTED}, 2) ELSE t END AS title
+  FROM s WHERE regexp_matches(t, '^#{{1,6}}\s+.+') OR regexp_matches(t, {_DOTTED}) OR (t <> '' AND length(t) <= 80 AND upper(t) = t AND regexp_matches(t, '\p{{L}}') AND NOT regexp_matches(t, '[.!?]$'))),
+p AS MATERIALIZED (SELECT h.conv_id, h.section, h.line, h.level, h.title, (SELECT max(o.section) FROM h o WHERE o.conv_id = h.conv_id AND o.section < h.section AND o.level < h.level) AS parent FROM h),
+up AS (SELECT conv_id, section, title AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.conv_id, p.section, up.path || ' > ' || p.title FROM up JOIN p ON p.conv_id = up.conv_id AND p.parent = up.section),
+w AS (SELECT s.conv_id, (SELECT max(section) FROM h WHERE h.conv_id = s.conv_id AND h.line <= s.line) AS section, s.line, len(regexp_extract_all(raw, '\S+')) AS n FROM s)
+SELECT p.conv_id, CAST(p.section AS BIGINT) AS section, CAST(p.parent AS BIGINT) AS parent, CAST(p.level AS BIGINT) AS level, CAST(row_number() OVER (PARTITION BY p.conv_id, p.parent ORDER BY p.section) - 1 AS BIGINT) AS sibling, path,
+  CAST(coalesce((SELECT sum(n) FROM w WHERE w.conv_id = p.conv_id AND w.section = p.section AND w.line > p.line), 0) AS BIGINT) AS words FROM p JOIN up USING (conv_id, section)"""
+
+
+def _outlined(t) -> DataFrame:
+    """Conversations as documents: each turn below a heading of one of three levels."""
+    heading = F.concat(F.repeat(F.lit("#"), (1 + F.col("turn") % 3).cast("int")), F.lit(" "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30)))
+    part = F.concat(heading, F.lit("\n"), "text")
+    return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x.part), "\n").alias("text"))
+
+
+@query("r14_outline", _OUTLINE)
+def _(t):
+    words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
+    return outline.section_rows(spread(_outlined(t)), "conv_id", "text").select("conv_id", "section", "parent", "level", "sibling", F.array_join("path", " > ").alias("path"), words.alias("words"))
+
+
+def _counted(texts: list) -> list:
+    """Stands in for an embedding service."""
+    return [[float(len(x.split())), float(len(x))] for x in texts]
+
+
+@query("r26_reembedded", """SELECT doc_id, 'completed' AS status, CAST(count(*) FILTER (WHERE NOT (doc_id % 10 = 0 AND last)) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE doc_id % 10 = 0 AND last) AS BIGINT) AS embedded
+  FROM (SELECT doc_id, unnest([false, true]) AS last FROM documents WHERE regexp_matches(text, '\\S')) GROUP BY doc_id""")
+def _(t):
+    """Each document as two chunks, of which the second one of every tenth document has changed."""
+    texts = t("documents").select("doc_id", F.concat(F.lit("one two three four. "), F.col("doc_id").cast("string"), F.lit(" six seven eight.")).alias("text")).join(t("documents").where(F.col("text").rlike(r"\S")).select("doc_id"), "doc_id", "left_semi")
+    stored, _ = I.ingest(texts, "doc_id", "text", _counted, 2, 4, 0)
+    now = texts.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    _, status = I.reingest(cut(stored), now, "doc_id", "text", _counted, 2, 4, 0)
+    return status.select("doc_id", "status", "kept", "embedded")
+
+
+@query("r21_durable_uploads", """SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS attempt, CASE WHEN NOT regexp_matches(text, '\\S') OR contains(text, 'license') THEN 'failed' ELSE 'completed' END AS status FROM documents""")
+def _(t):
+    """All documents in two runs of one journal, the first of which sees a third of them."""
+    path = scratch(t.spark, "journal")
+    docs = spread(t("documents").select("doc_id", "text"))
+    journal = UploadJournal(t.spark, path)
+    embed = lambda texts: [None if "license" in x else [float(len(x)), 1.0] for x in texts]
+    journal.run(docs.where("doc_id % 3 = 0"), "text", embed, 2)
+    journal.run(docs, "text", embed, 2)
+    found = cut(journal.status(docs).select("doc_id", "attempt", "status"))
+    delete(t.spark, path)
+    return found
