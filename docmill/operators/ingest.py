@@ -20,6 +20,10 @@ class ServiceError(Exception):
         self.status = status
 
 
+#: Errors of a service, which are values of the rows concerned.
+REFUSALS = (ServiceError, ConnectionError, TimeoutError, ValueError)
+
+
 def with_retry(call: Callable, tries: int = 3, wait: float = 0.5) -> Callable:
     """The call, repeated after a connection error or a status of 500 or more; waits double. The last error is raised."""
 
@@ -39,9 +43,12 @@ def with_retry(call: Callable, tries: int = 3, wait: float = 0.5) -> Callable:
 def called(df: DataFrame, value: str, call: Callable[[list], list], result: DataType | None = None, batch: int = 64, tries: int = 3, wait: float = 0.5) -> DataFrame:
     """Adds ``result`` and ``error``: an injected call on lists of values (one result for each), a batch at a time.
 
-    A batch whose call fails for good is called value by value, so that one bad
+    A batch that the service refuses is called value by value, so that one bad
     value spoils no other row; what then fails has its error and a null result,
-    as has a result of None. One narrow pass.
+    as has a result of None. Where the service is down (no connection, status
+    500 or more, after all tries), the whole batch has that error at once: no
+    value is tried again alone. Errors of the call's own code are raised. One
+    narrow pass.
     """
     schema = StructType([*df.schema.fields, StructField("result", result or StringType()), StructField("error", StringType())])
     retried = with_retry(call, tries, wait)
@@ -50,7 +57,7 @@ def called(df: DataFrame, value: str, call: Callable[[list], list], result: Data
         try:
             r = retried([v])[0]
             return r, None if r is not None else "no result"
-        except Exception as x:  # noqa: BLE001  a row's error is a value
+        except REFUSALS as x:  # a row's error is a value
             return None, str(x)[:200]
 
     def run(frames: Iterator) -> Iterator:
@@ -60,14 +67,42 @@ def called(df: DataFrame, value: str, call: Callable[[list], list], result: Data
                 values = part[value].tolist()
                 try:
                     pairs = [(r, None if r is not None else "no result") for r in retried(values)]
-                except Exception:  # noqa: BLE001
-                    pairs = [one(v) for v in values]
+                except REFUSALS as x:
+                    down = isinstance(x, (ConnectionError, TimeoutError)) or isinstance(x, ServiceError) and x.status >= 500
+                    pairs = [(None, str(x)[:200])] * len(values) if down else [one(v) for v in values]
                 part["result"], part["error"] = [p[0] for p in pairs], [p[1] for p in pairs]
                 yield part
 
     return df.mapInPandas(run, schema)
 
 
+def message_lists(turns: DataFrame, conversation: str, order: str, role: str, content: str, last: int = 4, system: str | None = None) -> DataFrame:
+    """``(conversation, messages)``: the last turns of each conversation in order as role and content, behind a system message if given.
+
+    The newest turns are chosen before they are gathered, so a list is short however long the conversation.
+    """
+    from pyspark.sql import Window
+
+    newest = F.row_number().over(Window.partitionBy(conversation).orderBy(F.col(order).desc()))
+    rows = turns.withColumn("_nth", newest).where(F.col("_nth") <= last)
+    said = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("role"), F.col(content).alias("content")))), lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
+    first = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))) if system else None
+    return rows.groupBy(conversation).agg((F.concat(first, said) if system else said).alias("messages"))
+
+
+def chat(df: DataFrame, messages: str, call: Callable[[list], list], **options) -> DataFrame:
+    """called on message lists: the call gets a list of lists of ``{"role", "content"}`` and gives one answer for each."""
+    return called(df, messages, lambda values: call([[dict(m) for m in v] for v in values]), **options)
+
+
+def chat_pieces(df: DataFrame, messages: str, call: Callable[[list], list], **options) -> DataFrame:
+    """chat with answers that come in pieces (lists of strings): the rows with ``result`` joined and one row for each ``(piece, text)``; a failed one has a row without a piece."""
+    from pyspark.sql.types import ArrayType
+
+    rows = called(df, messages, lambda values: call([[dict(m) for m in v] for v in values]), ArrayType(StringType()), **options)
+    return rows.select(*df.columns, F.array_join("result", "").alias("result"), "error", F.posexplode_outer("result").alias("piece", "text"))
+
+
 def ingest(docs: DataFrame, id_col: str, text_col: str, embedder: Callable[[list], list], dimension: int, size: int = 240, overlap: int = 48, **retry) -> tuple[DataFrame, DataFrame]:
     """Points to store and each document's outcome: ``(id, sequence, text, embedding)`` and ``(id, status, error)``.
 

@@ -16,7 +16,10 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if not now.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='docmill-')}")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='docmill-')}")
         now = sc._jsc.sc().getCheckpointDir()
     return now.get()
 

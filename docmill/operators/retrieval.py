@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from docmill.operators.lineage import cut
 
@@ -110,6 +112,21 @@ def rerank(rows: DataFrame, score: Column, k: int, key: str) -> DataFrame:
     return rows.orderBy(score.desc(), key).limit(k)
 
 
+def rerank_scored(hits: DataFrame, call: Callable[[list], list], k: int, query: str = "query", text: str = "text", by: str = "question_id", key: str = "chunk_id", **options) -> DataFrame:
+    """The k hits of each question that an injected scorer of (query, text) pairs puts first, with ``rank`` and ``relevance``; ties by key.
+
+    The scorer gets lists of pairs, a batch at a time, with retry; a pair that
+    it refuses comes behind all others. For the hits of nearest: a question has
+    few, so its ranking is a small group.
+    """
+    from docmill.operators.ingest import called
+
+    pairs = hits.withColumn("_pair", F.array(query, text))
+    rows = called(pairs, "_pair", lambda values: [float(x) for x in call([tuple(v) for v in values])], DoubleType(), **options)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("result"), key))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k).withColumnRenamed("result", "relevance").drop("_pair", "error")
+
+
 #: Text in place of a context without hits.
 NO_CONTEXT = "No related documents were found."
 

@@ -49,4 +49,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from docmill.plans import access_queries, analytics_queries, document_queries, further_queries, ingest_queries, relational_queries, scalar_queries, search_queries  # noqa: F401
+    from docmill.plans import access_queries, analytics_queries, document_queries, further_queries, ingest_queries, relational_queries, scalar_queries, search_queries, workflow_queries  # noqa: F401

@@ -37,12 +37,12 @@ def _questions(t) -> DataFrame:
     return turns.select("question_id", "account_id").join(vectors, "question_id")
 
 
-def _permitted(t) -> DataFrame:
-    """The hits of all questions among what each one's account may see."""
+def permitted(t, k: int = 5) -> DataFrame:
+    """The k hits of each question among what its account may see."""
     accounts = A.account_keys(R.base_scan(t("p_accounts")), t("p_account_roles"))
     keys = A.document_keys(R.base_scan(t("p_documents")), t("p_document_permissions"))
     chunks = t("p_chunks").join(keys, "doc_id").select("chunk_id", F.col("embedding").alias("vector"), "keys", "denied")
-    return knn.nearest(_questions(t).join(accounts, "account_id"), chunks)
+    return knn.nearest(_questions(t).join(accounts, "account_id"), chunks, k)
 
 
 @query("r10_questions_topk", o("p_chunks", f"WITH {_QUESTIONS} SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY list_cosine_similarity(v, e) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(list_cosine_similarity(v, e), 6) AS score FROM q CROSS JOIN k WHERE list_cosine_similarity(v, e) >= 0.1 QUALIFY rank <= 5"))
@@ -55,7 +55,7 @@ def _(t):
 
 @query("r11_questions_permitted", o(_ACL, f"{_HITS} SELECT question_id, rank, chunk_id, score FROM r"))
 def _(t):
-    return _permitted(t).withColumn("score", F.round("score", 6))
+    return permitted(t).withColumn("score", F.round("score", 6))
 
 
 @query("r18_questions_answered", o(_ACL, f"""{_HITS}, w AS (SELECT question_id, string_agg('- ' || left(text, 200), chr(10) ORDER BY rank) AS context, list(DISTINCT doc_id ORDER BY doc_id) AS sources FROM r JOIN k USING (chunk_id) JOIN documents USING (doc_id) GROUP BY 1)
@@ -63,7 +63,7 @@ def _(t):
 def _(t):
     texts = t("p_chunks").select("chunk_id", "doc_id").join(t("documents").select("doc_id", F.left("text", F.lit(200)).alias("text")), "doc_id")
     turns = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"))
-    return knn.answers(turns, _permitted(t), texts)
+    return knn.answers(turns, permitted(t), texts)
 
 
 def _stem(w: str) -> str:

@@ -56,6 +56,13 @@ def read_files(spark: SparkSession, path: str, parsers: dict | None = None) -> D
     A file that is too large or of no supported type has an error and no text.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    fits = rows.where(F.col("length") <= MAX_BYTES).select("path", "length", "content")
+    large = rows.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))  # whose content isn't read
+    return parsed(fits.unionByName(large), parsers)
+
+
+def parsed(rows: DataFrame, parsers: dict | None = None) -> DataFrame:
+    """``(path, mime, text, error)`` of stored files ``(path, length, content)``, as read_files gives them."""
     rows = rows.select("path", "length", "content", kind_of(F.col("path")).alias("mime"))
     error = file_error(F.col("path"), F.col("length"))
     given = PARSERS | dict(parsers or {})
