@@ -5,16 +5,20 @@ its least GRAM-byte string by hash (the leftmost of equals). Equal windows so
 have equal named suffixes at equal offsets, and only suffixes that start with
 the same GRAM bytes need comparing; one in some 70 positions has one.
 
-1. Suffixes whose first bytes occur once are dropped (an aggregation of hashes).
-2. The *reach* of a suffix is the union of its windows. Where an equal reach
-   stands elsewhere, all its windows repeat: whole copies and the inside of
-   repeated passages end here, by hashes alone.
-3. The others, at the ends of repeated passages, meet one suffix of each
-   distinct reach. They are range-partitioned by sampled splitters of their
-   leading bytes; a bucket is sorted by multikey quicksort, and the windows of
-   runs with equal leading bytes are compared. A splitter is a value of the
-   first 8 bytes, so no run lies across a boundary. Runs of very many distinct
-   reaches are compared by an aggregation of their windows' hashes instead.
+1. Named suffixes are written once. Those whose first bytes occur once are
+   dropped by bits of a hash.
+2. The others are range-partitioned by splitters that a sample gives: values of
+   their leading bytes and, where many suffixes share these, of their *reach*,
+   the union of their windows. A bucket is sorted, and runs of equal reaches
+   repeat whole: whole copies and the inside of repeated passages end here. A
+   reach that is several splitters by itself stands in the sample several
+   times, so it needs no run across boundaries to be known as repeated.
+3. One suffix of each distinct reach that has others with the same first bytes
+   in its bucket, or stands at a bucket's edge, is compared with those of all
+   buckets: partitioned by splitters of leading and of all first bytes, sorted
+   by multikey quicksort, the windows of runs with equal first bytes compared.
+   No such run lies across a boundary. Runs of very many distinct reaches are
+   compared by an aggregation of their windows' hashes instead.
 
 Strings are compared by 64-bit hashes. Texts are read whole; suffixes are named
 in overlapping pieces of PIECE windows at most, and no more than that at once,
@@ -30,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import cut, forget, free, key_bits, marked, slices, worker_state
+from docmill.llm.common import cut, delete_path, forget, free, key_bits, marked, scratch_path, slices, small_batches, worker_state
 from docmill.llm.shingles import _powers, mix
 
 #: Bytes by which suffixes are named and first compared.
@@ -185,22 +189,50 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = rows.where(F.length("t") >= length).mapInArrow(name, f"id {kind}, th long, lo long, n int, offset int, gram long, reach long, lead long")
-    several = named.groupBy("gram").agg(F.count("*").alias("c"), F.min("reach").alias("r1"), F.max("reach").alias("r2")).where("c > 1")
-    several = cut(several.select("gram", (F.col("r1") != F.col("r2")).alias("mixed")))  # as a table, so that the join's hot grams are split
-    free(spark)
-    shared = cut(named.drop("lead").join(several, "gram"))
+    store = scratch_path(spark, "suffixes")
+    with small_batches(spark):
+        named.write.parquet(store)
+    named = spark.read.parquet(store)
+    several = named.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    bits = key_bits(several, F.col("gram"))
+    sample = _sample(named)
+    cuts, common = _splitters(sample, "reach", parts)
+    gram_cuts, _ = _splitters(sample, "gram", parts)
+    hot = F.col("reach").isin([int(x) for x in common])  # repeated, as the sample shows; too many rows for a bucket
+    repeated_hot = named.where(hot).select("id", "th", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(bits.value, np.uint64)
+        for b in batches:
+            h = b.column(5).to_numpy().view(np.uint64)
+            b = b.filter(pa.array(((table[(h >> np.uint64(46)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_buckets(cuts, b.column(7).to_numpy(), b.column(6).to_numpy()))], names=[*b.schema.names, "bucket"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _runs(batches, "reach", SORTED):
+            reach, gram = g.column("reach").to_numpy(), g.column("gram").to_numpy()
+            new = np.concatenate([[True], (reach[1:] != reach[:-1]) | (gram[1:] != gram[:-1])])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(new)))
+            of = gram[at]
+            edge = np.ones(len(at), bool)  # what stands first or last may have others beyond
+            edge[1:-1] = (of[1:-1] == of[:-2]) | (of[1:-1] == of[2:])
+            twice = np.flatnonzero(np.repeat(times > 1, times))
+            for rows, told in ((twice, np.zeros(len(twice), np.int64)), (at[edge], times[edge])):
+                for b in g.take(pa.array(rows)).append_column("times", pa.array(told)).combine_chunks().to_batches():
+                    yield b.select(["id", "th", "lo", "n", "offset", "gram", "times"])
+
+    columns = f"id {kind}, th long, lo long, n int, offset int, gram long, reach long, lead long"
+    dealt = named.where(~hot).mapInArrow(deal, f"{columns}, bucket int").repartitionById(len(cuts[0]) + 1, F.col("bucket")).sortWithinPartitions("bucket", "lead", "gram", "reach")
+    ended = cut(dealt.mapInArrow(settle, f"id {kind}, th long, lo long, n int, offset int, gram long, times long"))
     free(spark)
-    reaches = shared.groupBy("gram", "reach", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo", "n", "offset")).alias("m"))
-    reaches = cut(reaches)
-    settled = shared.join(reaches.where("c > 1").select("gram", "reach"), ["gram", "reach"], "left_semi")
-    settled = settled.select("id", "th", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
-    open_ = reaches.where("mixed")
-    size = open_.groupBy("gram").agg(F.count("*").alias("size"), F.min("c").alias("least")).where("least = 1 and size > 1").drop("least")
-    meet = open_.join(cut(size), "gram").select("gram", F.col("c").alias("times"), "size", "m.*")
+    settled = ended.where("times = 0").select("id", "th", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("stop")).unionByName(repeated_hot)
+    one_hot = named.where(hot).groupBy("reach").agg(F.min(F.struct("id", "th", "lo", "n", "offset", "gram")).alias("m")).select("m.*", F.lit(2).cast("long").alias("times"))
+    open_ = ended.where("times > 0").unionByName(one_hot)
+    size = open_.groupBy("gram").agg(F.count("*").alias("size"), F.min("times").alias("least")).where("least = 1 and size > 1").drop("least")
+    meet = open_.join(cut(size), "gram")
     meet = meet.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "offset", "gram", "times", "size")).alias("s"))
 
-    cuts = _splitters(rows, length, name, kind, parts)
-
     def reach_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 750_000, keep="powers"):
             out: list[list] = [[] for _ in range(9)]
@@ -211,7 +243,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     row = (i, th, s["lo"], s["offset"], lead, s["times"], s["size"] > hot_size, t[s["lo"] : s["lo"] + s["n"] + length - 1], s["gram"])
                     for c, x in zip(out, row):
                         c.append(x)
-            bucket = np.searchsorted(np.array(cuts, np.int64), np.array(out[4], np.int64), side="right").astype(np.int32)
+            bucket = _buckets(gram_cuts, np.array(out[4], np.int64), np.array(out[8], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.bool_()), pa.array(out[7], pa.binary()), pa.array(out[8], pa.int64())], names=["bucket", "id", "th", "lo", "offset", "lead", "times", "hot", "x", "gram"])
 
     meet = cut(meet)
@@ -241,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     span = f"id {kind}, th long, lo long, stop long"
     cool = placed.where("not hot").select("bucket", "lead", "gram", "id", "lo", "offset", "th", "times", "x")
-    cool = cool.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "lead", "gram")
+    cool = cool.repartitionById(len(gram_cuts[0]) + 1, F.col("bucket")).sortWithinPartitions("bucket", "lead", "gram")
     found = cool.mapInArrow(compare, span)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,19 +304,41 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 lists.append(merged)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.struct([("lo", pa.int64()), ("stop", pa.int64())])))], names=["id", "th", "spans"])
 
-    return every.mapInArrow(union, f"id {kind}, th long, spans array<struct<lo: long, stop: long>>")
+    spans = cut(every.mapInArrow(union, f"id {kind}, th long, spans array<struct<lo: long, stop: long>>"))
+    delete_path(spark, store)
+    return spans
+
+
+def _sample(named: DataFrame, rows: int = 50_000) -> np.ndarray:
+    """Leading bytes, reach and first bytes' hash of about so many suffixes, chosen by a hash: what splitters are made of."""
+    n = named.count()
+    at = F.pmod(F.xxhash64("id", "th", "lo", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
+    got = named.where(at < min(1.0, rows / max(n, 1))).select("lead", "reach", "gram").toArrow()
+    return np.array([tuple(x) for x in zip(*(got.column(c).to_numpy() for c in ("lead", "reach", "gram")))], [("lead", "<i8"), ("reach", "<i8"), ("gram", "<i8")])
+
+
+def _splitters(sample: np.ndarray, second: str, parts: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Quantiles of (leading bytes, second key), and second keys that are two of them or more, which are left out."""
+    if not len(sample) or parts < 2:
+        none = np.zeros(0, np.int64)
+        return (none, none), none
+    held = np.sort(sample[["lead", second]], order=["lead", second])
+    picked = held[[len(held) * i // parts for i in range(1, parts)]]
+    each, count = np.unique(picked, return_counts=True)
+    whole = np.unique(held, return_counts=True)
+    often = each[second][(count > 1) & (whole[1][np.searchsorted(whole[0], each)] > 1)]
+    return (each["lead"], each[second]), often
 
 
-def _splitters(rows: DataFrame, length: int, name, kind: str, parts: int, sample: int = 4_000) -> list[int]:
-    """Cut points of the suffixes' first 8 bytes, from about ``sample`` texts chosen by a hash."""
-    n = rows.where(F.length("t") >= length).count()
-    if not n or parts < 2:
-        return []
-    at = F.pmod(F.xxhash64("id", "th", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
-    picked = rows.where(F.length("t") >= length).where(at < min(1.0, sample / n))
-    got = picked.mapInArrow(name, f"id {kind}, th long, lo long, n int, offset int, gram long, reach long, lead long")
-    got = got.agg(F.percentile_approx("lead", [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q
-    return sorted(set(got or []))
+def _buckets(cuts: tuple[np.ndarray, np.ndarray], lead: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many splitters are at or below each (leading bytes, second key)."""
+    out = np.searchsorted(cuts[0], lead, "left")
+    last = np.searchsorted(cuts[0], lead, "right")
+    for i in np.unique(out[last > out]).tolist():
+        at = np.flatnonzero((out == i) & (last > i))
+        j = int(last[at[0]])
+        out[at] = i + np.searchsorted(cuts[1][i:j], second[at], "right")
+    return out.astype(np.int32)
 
 
 def _repeats(x: list[bytes], offset: np.ndarray, run: np.ndarray, times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,7 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows repeat each other. Columns of docs that are named like a new one give way.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    spans = cut(repeated_spans(docs, length, id_col, text_col))
+    spans = repeated_spans(docs, length, id_col, text_col)
     free(docs.sparkSession)
     columns = docs.columns
     own = docs.withColumn("_docmill_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

@@ -92,3 +92,27 @@ def test_sort():
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_buckets_by_splitters():
+    r = np.random.default_rng(4)
+    sample = np.array(list(zip(r.integers(0, 5, 300).tolist(), r.integers(-3, 3, 300).tolist(), [0] * 300)), [("lead", "<i8"), ("reach", "<i8"), ("gram", "<i8")])
+    sample["lead"][:120], sample["reach"][:120] = 2, 9
+    cuts, often = suffix_dedup._splitters(sample, "reach", 16)
+    assert often.tolist() == [9] or set(often.tolist()) >= {9}
+    keys = list(zip(*(x.tolist() for x in cuts)))
+    assert keys == sorted(set(keys))
+    lead, second = r.integers(-1, 6, 500), r.integers(-5, 11, 500)
+    want = [sum(k <= key for k in keys) for key in zip(lead.tolist(), second.tolist())]
+    assert suffix_dedup._buckets(cuts, lead, second).tolist() == want
+    none, few = suffix_dedup._splitters(sample[:0], "reach", 16)
+    assert not len(none[0]) and not len(few) and suffix_dedup._buckets(none, lead, second).tolist() == [0] * 500
+    assert not len(suffix_dedup._splitters(sample[-3:], "gram", 16)[1]) or len(set(sample[-3:]["lead"].tolist())) < 3
+
+
+def test_one_reach_of_a_third_of_all(spark):
+    r = random.Random(5)
+    line = "".join(r.choices("abcdefgh ", k=230))
+    rows = [(i, line if i % 3 == 0 else "".join(r.choices("abcdefgh ", k=260)) + line + "".join(r.choices("abcdefgh ", k=40))) for i in range(240)] + [(999, " " * 700)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got.collect()) == _brute(rows, 200)
