@@ -130,7 +130,7 @@ def _(t):
 
 
 _DOTTED = r"'^(\d+(?:\.\d+)*)\.?\s+(\S.{0,80})$'"
-_OUTLINE = rf"""WITH RECURSIVE d AS (SELECT conv_id, string_agg(repeat('#', CAST(1 + turn % 3 AS INTEGER)) || ' ' || left(replace(text, chr(10), ' '), 30) || chr(10) || text, chr(10) ORDER BY turn) AS doc FROM conversations GROUP BY 1),
+_SECTIONS = rf"""WITH RECURSIVE d AS (SELECT conv_id, string_agg(repeat('#', CAST(1 + turn % 3 AS INTEGER)) || ' ' || left(replace(text, chr(10), ' '), 30) || chr(10) || text, chr(10) ORDER BY turn) AS doc FROM conversations GROUP BY 1),
 l AS (SELECT conv_id, unnest(string_split(doc, chr(10))) AS raw, unnest(range(len(string_split(doc, chr(10))))) AS line FROM d), s AS (SELECT *, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') AS t FROM l),
 h AS MATERIALIZED (SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY line) AS section,
   CASE WHEN regexp_matches(t, '^#{{1,6}}\s+.+') THEN length(regexp_extract(t, '^(#{{1,6}})', 1)) WHEN regexp_matches(t, {_DOTTED}) THEN len(string_split(regexp_extract(t, {_DOTTED}, 1), '.')) ELSE 1 END AS level,
@@ -138,8 +138,8 @@ h AS MATERIALIZED (SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id
   FROM s WHERE regexp_matches(t, '^#{{1,6}}\s+.+') OR regexp_matches(t, {_DOTTED}) OR (t <> '' AND length(t) <= 80 AND upper(t) = t AND regexp_matches(t, '\p{{L}}') AND NOT regexp_matches(t, '[.!?]$'))),
 p AS MATERIALIZED (SELECT h.conv_id, h.section, h.line, h.level, h.title, (SELECT max(o.section) FROM h o WHERE o.conv_id = h.conv_id AND o.section < h.section AND o.level < h.level) AS parent FROM h),
 up AS (SELECT conv_id, section, title AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.conv_id, p.section, up.path || ' > ' || p.title FROM up JOIN p ON p.conv_id = up.conv_id AND p.parent = up.section),
-w AS (SELECT s.conv_id, (SELECT max(section) FROM h WHERE h.conv_id = s.conv_id AND h.line <= s.line) AS section, s.line, len(regexp_extract_all(raw, '\S+')) AS n FROM s)
-SELECT p.conv_id, CAST(p.section AS BIGINT) AS section, CAST(p.parent AS BIGINT) AS parent, CAST(p.level AS BIGINT) AS level, CAST(row_number() OVER (PARTITION BY p.conv_id, p.parent ORDER BY p.section) - 1 AS BIGINT) AS sibling, path,
+w AS (SELECT s.conv_id, (SELECT max(section) FROM h WHERE h.conv_id = s.conv_id AND h.line <= s.line) AS section, s.line, len(regexp_extract_all(raw, '\S+')) AS n FROM s)"""
+_SECTION_ROWS = """SELECT p.conv_id, CAST(p.section AS BIGINT) AS section, CAST(p.parent AS BIGINT) AS parent, CAST(p.level AS BIGINT) AS level, CAST(row_number() OVER (PARTITION BY p.conv_id, p.parent ORDER BY p.section) - 1 AS BIGINT) AS sibling, path,
   CAST(coalesce((SELECT sum(n) FROM w WHERE w.conv_id = p.conv_id AND w.section = p.section AND w.line > p.line), 0) AS BIGINT) AS words FROM p JOIN up USING (conv_id, section)"""
 
 
@@ -150,7 +150,7 @@ def _outlined(t) -> DataFrame:
     return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x.part), "\n").alias("text"))
 
 
-@query("r14_outline", _OUTLINE)
+@query("r14_outline", f"{_SECTIONS} {_SECTION_ROWS}")
 def _(t):
     words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
     return outline.section_rows(spread(_outlined(t)), "conv_id", "text").select("conv_id", "section", "parent", "level", "sibling", F.array_join("path", " > ").alias("path"), words.alias("words"))

@@ -8,13 +8,14 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
 
-from docmill.functions import chunking
-from docmill.operators import documents as D, ingest as I, knn, retrieval as V
-from docmill.operators.lineage import spread
+from docmill.functions import chunking, outline
+from docmill.operators import documents as D, ingest as I, retrieval as V
+from docmill.operators.lineage import cut, delete, scratch, spread
 from docmill.plans import search_queries as S
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
 from docmill.sources import files
+from docmill.streaming import uploads
 
 _NOW = "2024-03-01 12:00:00"
 
@@ -127,3 +128,48 @@ def _(t):
     length = F.when(F.col("doc_id") % 4 == 2, F.lit(files.MAX_BYTES + 1)).otherwise(F.octet_length("text"))
     rows = files.parsed(t("documents").select(F.concat(F.lit("/in/"), "doc_id", ending).alias("path"), length.cast("long").alias("length"), F.col("text").cast("binary").alias("content")))
     return rows.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+
+
+_CHUNKS = f"""{S._SECTIONS}, o AS MATERIALIZED ({S._SECTION_ROWS}),
+clos AS (SELECT conv_id, section, section AS anc FROM o UNION ALL SELECT c.conv_id, c.section, o.parent FROM clos c JOIN o ON o.conv_id = c.conv_id AND o.section = c.anc WHERE o.parent IS NOT NULL),
+sub AS (SELECT conv_id, anc AS section, sum(words) AS below FROM clos JOIN o USING (conv_id, section) GROUP BY 1, 2),
+ch AS (SELECT conv_id, path, section, 'SUMMARY' AS kind, conv_id * 1000 + section * 2 AS chunk_id FROM o JOIN sub USING (conv_id, section) WHERE below > 0 UNION ALL SELECT conv_id, path, section, 'DETAIL', conv_id * 1000 + section * 2 + 1 FROM o WHERE words > 0),
+v AS MATERIALIZED (SELECT ch.*, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM ch JOIN embeddings e ON e.vec_id = ch.chunk_id % (SELECT count(*) FROM embeddings))"""
+
+
+def _sectioned(t):
+    """Summary and first detail chunks of the conversations' sections, each with a stored vector: by what their ids are modulo the number of vectors."""
+    rows = outline.section_chunks(spread(S._outlined(t)), "conv_id", "text").where("sequence = 0")
+    rows = rows.withColumn("parent_id", F.col("conv_id") * 1000 + F.col("section") * 2).withColumn("chunk_id", F.col("parent_id") + (F.col("kind") == "detail").cast("long"))
+    vectors = t("embeddings").select(F.col("vec_id").alias("_at"), "embedding")
+    return rows.withColumn("_at", F.col("chunk_id") % t("embeddings").count()).join(vectors, "_at").drop("_at")
+
+
+@query("r12_section_details", f"{_CHUNKS}, top AS (SELECT conv_id, section FROM v WHERE kind = 'SUMMARY' ORDER BY score DESC, chunk_id LIMIT 3) SELECT chunk_id, path, round(score, 6) AS score FROM v SEMI JOIN top USING (conv_id, section) WHERE kind = 'DETAIL' ORDER BY v.score DESC, chunk_id LIMIT 4")
+def _(t):
+    chunks = _sectioned(t)
+    best = V.two_stage(chunks.where("kind = 'summary'").drop("parent_id"), chunks.where("kind = 'detail'"), t("embeddings").where("vec_id = 0"))
+    return best.select("chunk_id", F.array_join("path", " > ").alias("path"), F.round("score", 6).alias("score"))
+
+
+@query("r28_section_context", f"{_CHUNKS}, hits AS (SELECT * FROM v ORDER BY score DESC, chunk_id LIMIT 20) SELECT conv_id AS source, string_agg('[' || kind || '] ' || path, chr(10) ORDER BY score DESC, chunk_id) AS context FROM hits GROUP BY 1")
+def _(t):
+    hits = V.top_k(_sectioned(t), t("embeddings").where("vec_id = 0"), 20)
+    line = F.concat(F.lit("["), F.upper("kind"), F.lit("] "), F.array_join("path", " > "))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id", line.alias("line"))))
+    return hits.groupBy(F.col("conv_id").alias("source")).agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("context"))
+
+
+@query("t2_uploads_streamed", """SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') AND NOT contains(text, 'license') THEN 'completed' ELSE 'failed' END AS status FROM documents""")
+def _(t):
+    """Documents that arrive as files of a folder, ingested by a stream in two batches; what it has written of each."""
+    base = scratch(t.spark, "uploads")
+    docs = t("documents").select("doc_id", "text")
+    embed = lambda texts: [None if "license" in x else [float(len(x)), 1.0] for x in texts]
+    for turn in (0, 1):
+        docs.where(F.col("doc_id") % 2 == turn).write.parquet(f"{base}/in/turn={turn}")
+        stream = t.spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        uploads.process(stream, "doc_id", "text", embed, 2, f"{base}/points", f"{base}/status", f"{base}/checkpoint").awaitTermination()
+    found = cut(t.spark.read.parquet(f"{base}/status").select("doc_id", "status"))
+    delete(t.spark, base)
+    return found
