@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmill.operators import access as A, cache as K, hierarchy as H, relational as R
+from docmill.operators import access as A, cache as K, hierarchy as H, labels as L, relational as R
+from docmill.operators.lineage import cut, delete, scratch
 from docmill.plans.proxies import oracle as o
 from docmill.plans.registry import query
 
@@ -242,3 +243,38 @@ def _(t):
 @query("h11_orphans", o("p_folders", "SELECT folder_id FROM p_folders WHERE access_scope = 'company' AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT folder_id FROM p_folders WHERE access_scope = 'company')"))
 def _(t):
     return H.orphans(t("p_folders").where("access_scope = 'company'"), "folder_id").select("folder_id")
+
+
+def _stored_labels(t, ask):
+    """The answer of the folders' stored labels, which stand while they are asked."""
+    path = scratch(t.spark, "labels")
+    nodes = t("p_folders").select("folder_id", "parent_id", "name")
+    L.store(L.labelled(nodes, "folder_id"), path)
+    found = cut(ask(t.spark.read.parquet(path)))
+    delete(t.spark, path)
+    return found
+
+
+_BELOW_2 = "t AS (SELECT folder_id, 1 AS depth FROM p_folders WHERE parent_id = 2 UNION ALL SELECT f.folder_id, depth + 1 FROM t JOIN p_folders f ON f.parent_id = t.folder_id)"
+
+
+@query("h2_label_range", o("p_folders", f"WITH {_BELOW_2} SELECT folder_id, CAST(depth AS INTEGER) AS depth FROM t", recursive=True))
+def _(t):
+    return _stored_labels(t, lambda rows: L.descendants(rows, 2, "folder_id").select("folder_id", "depth"))
+
+
+@query("h3_moved_subtree", o("p_folders", f"WITH {_BELOW_2} SELECT folder_id, CAST(depth + 2 AS INTEGER) AS hops_to_root FROM t WHERE folder_id % 3 = 0", recursive=True))
+def _(t):
+    """Folder 2 below folder 3: how far its folders then are from the root."""
+    def ask(rows):
+        after = L.moved(rows, 2, 3, "folder_id")
+        base = L.label_of(after, "folder_id", 2)
+        return after.where(L.inside(base, False)).where("folder_id % 3 = 0").select("folder_id", (F.length("label") / L.STEP - 1).cast("int").alias("hops_to_root"))
+
+    return _stored_labels(t, ask)
+
+
+@query("g25_label_totals", o("p_folders", """WITH up(folder_id, anc) AS (SELECT folder_id, folder_id FROM p_folders UNION ALL SELECT u.folder_id, f.parent_id FROM up u JOIN p_folders f ON f.folder_id = u.anc WHERE f.parent_id IS NOT NULL)
+    SELECT anc AS folder_id, count(*) AS total FROM up GROUP BY 1""", recursive=True))
+def _(t):
+    return _stored_labels(t, lambda rows: L.subtree_sums(rows, F.lit(1).cast("long"), "folder_id"))

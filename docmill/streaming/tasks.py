@@ -1,4 +1,4 @@
-"""Task queue transitions, as batch steps and as a stateful stream."""
+"""Task queue transitions as batch steps; queue.py has the stateful stream."""
 
 from __future__ import annotations
 
