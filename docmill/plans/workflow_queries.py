@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import functions as F
 
 from docmill.functions import chunking, outline
-from docmill.operators import documents as D, ingest as I, retrieval as V
+from docmill.operators import documents as D, evaluation, ingest as I, retrieval as V
 from docmill.operators.lineage import cut, delete, scratch, spread
 from docmill.plans import search_queries as S
 from docmill.plans.proxies import oracle as o
@@ -173,3 +173,21 @@ def _(t):
     found = cut(t.spark.read.parquet(f"{base}/status").select("doc_id", "status"))
     delete(t.spark, base)
     return found
+
+
+def _bag(text: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query("r27_aligned_answers", rf"""WITH t AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer, left(d.text, 2000) AS context FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 JOIN documents d ON d.doc_id = q.conv_id WHERE q.role = 'user'),
+    s AS (SELECT conv_id, turn, unnest(string_split_regex(answer, '[.!?\n]+')) AS s, unnest(range(len(string_split_regex(answer, '[.!?\n]+')))) AS i FROM t), sw AS (SELECT conv_id, turn, i, {_bag('s')} AS w FROM s),
+    c AS (SELECT conv_id, turn, unnest(string_split_regex(context, '[.!?\n]+')) AS s FROM t), cw AS (SELECT * FROM (SELECT conv_id, turn, {_bag('s')} AS w FROM c) WHERE len(w) > 0),
+    best AS (SELECT sw.conv_id, sw.turn, i, coalesce(max(len(list_intersect(sw.w, cw.w)) / len(sw.w)), 0) AS best FROM sw LEFT JOIN cw ON cw.conv_id = sw.conv_id AND cw.turn = sw.turn WHERE len(sw.w) > 0 GROUP BY ALL),
+    f AS (SELECT conv_id, turn, avg(best) AS faithfulness FROM best GROUP BY ALL),
+    r AS (SELECT conv_id, turn, {_bag('question')} AS q, {_bag('answer')} AS a FROM t), k AS (SELECT r.conv_id, r.turn, avg(len(list_intersect(q, cw.w)) / len(q)) AS relevance FROM r JOIN cw USING (conv_id, turn) WHERE len(q) > 0 GROUP BY ALL)
+    SELECT conv_id, turn, round(coalesce(faithfulness, 0), 6) AS faithfulness, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0 END, 6) AS answer_relevance, round(coalesce(relevance, 0), 6) AS context_relevance FROM r LEFT JOIN f USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn)""")
+def _(t):
+    c = t("conversations")
+    answers = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    rows = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(answers, ["conv_id", "turn"]).join(t("documents").select(F.col("doc_id").alias("conv_id"), F.left("text", F.lit(2000)).alias("context")), "conv_id")
+    return evaluation.evaluate(rows).select("conv_id", "turn", *[F.round(x, 6).alias(x) for x in ("faithfulness", "answer_relevance", "context_relevance")])
