@@ -45,10 +45,13 @@ def bare(word: Column) -> Column:
     return F.when(ing, F.regexp_replace(word, "ing$", "")).when(ed, F.regexp_replace(word, "ed$", "")).otherwise(word)
 
 
+def _words(text_col: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def analysed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, position, term)`` of every indexed word: ASCII letters and digits in lower case, positions counted over all words from 0, stems in place of words."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("position", "word")).where(~F.col("word").isin(*STOP_WORDS))
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(_words(text_col)).alias("position", "word")).where(~F.col("word").isin(*STOP_WORDS))
     return rows.withColumn("word", singular(F.col("word"))).select("id", "position", bare(F.col("word")).alias("term"))
 
 
@@ -68,12 +71,12 @@ def _cell(id_: Column) -> Column:
 
 def _postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(cell, term, id, tf, n, positions)``, and a row of a null term for each document."""
-    words = analysed(docs, id_col, text_col)
-    by = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    n = by.groupBy("id").agg(F.sum("tf").alias("n"))
+    by = analysed(docs, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    kept = F.filter(_words(text_col), lambda w: ~w.isin(*STOP_WORDS))
+    n = docs.select(F.col(id_col).alias("id"), F.greatest(F.size(kept), F.lit(0)).alias("n")).where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     rows = by.join(n, "id").select(_cell(F.col("id")).alias("cell"), "term", "id", "tf", "n", "positions")
-    every = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().join(n, "id", "left")
-    return rows.unionByName(every.select(_cell(F.col("id")).alias("cell"), F.lit(None).cast("string").alias("term"), "id", F.lit(0).cast("long").alias("tf"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.array().cast("array<int>").alias("positions")))
+    none = F.array().cast("array<int>").alias("positions")
+    return rows.unionByName(n.select(_cell(F.col("id")).alias("cell"), F.lit(None).cast("string").alias("term"), "id", F.lit(0).cast("long").alias("tf"), "n", none))
 
 
 def _rows(postings: DataFrame) -> DataFrame:
