@@ -8,8 +8,9 @@ with nothing, and so does most of a corpus; only the others' sets move.
 1. Documents with equal sets are one class.
 2. Of every class the n-grams with the smallest hashes are counted, a share a
    little above 1 - s. A class is suspect if fewer of them than its prefix is
-   long are its own; all other classes are settled: in an order that begins with
-   those n-grams, their prefixes are their own.
+   long are its own (also where so few were counted, as of short sets); all other
+   classes are settled: in an order that begins with those n-grams, their prefixes
+   are their own.
 3. All n-grams of suspects are counted among suspects. This gives their order
    (number of suspects, then hash) and their prefixes, and the n-grams that
    several prefixes share: posting lists.
@@ -298,7 +299,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).isNull(), id_col, text_col).alias("row"))  # a hash alone skips nulls: an id without text would be a text without id
     limit, id_type = _limit(percent), docs.schema[id_col].dataType.simpleString()
 
     def below(s: np.ndarray) -> np.ndarray:
@@ -318,7 +319,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     dealt = rows.mapInArrow(first, _DEALT).repartition(parts, "range").sortWithinPartitions("range")
     common = dealt.mapInArrow(lambda batches: _count(batches, True, parts), "place int, keys binary, counts binary")
     common = common.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(_sum, "k long, c long")
-    suspects = classes.join(common, "k").where(F.col("low") - F.col("c") < F.expr(f"n - ceil({percent} * n / 100) + 1")).select("k", "n", "row")
+    own = F.col("low") - F.coalesce("c", F.lit(0))  # a class of which nothing counted is common may still have too few of its own: short sets
+    suspects = classes.join(common, "k", "left").where(own < F.expr(f"n - ceil({percent} * n / 100) + 1")).select("k", "n", "row")
     suspects = cut(suspects)
     free(spark)
 

@@ -114,6 +114,22 @@ def test_very_long_text(spark, monkeypatch):
     assert {x[0]: x[2] for x in got.collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_short_sets_of_which_no_common_ngram_is_counted_first(spark):
+    r = random.Random(10)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(r.randrange(9, 30))] for _ in range(300)]
+    rows = [(2 * i + k, " ".join([*w, *["end"] * k])) for i, w in enumerate(base) for k in range(2)]
+    got = join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == _components(rows)
+
+
+def test_an_id_without_text_is_no_text_without_an_id(spark):
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(120)) for _ in range(20)]
+    rows = [x for i, t in enumerate(texts) for x in [(t, None), (None, t), (f"d{i:02}", f"{t} end")]]
+    got = join(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((n, c) for i, n, c in got if i is None) == [(117, f"d{i:02}") for i in range(20)]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_trie(seed):
     r = np.random.default_rng(seed)
