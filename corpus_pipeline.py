@@ -107,8 +107,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every row and the bytes they decode to, as digests."""
-    return digests(encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    """Byte-level BPE ids of every row and the bytes they decode to, as digests; coded at once, in small batches, as only digests need storing."""
+    return cut(digests(encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)))
 
 
 STAGES = [
@@ -134,6 +134,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             delete_path(spark, before)
         before = path
-    found = cut(STAGES[-1][1](spark, docs, sf_dir))
+    found = STAGES[-1][1](spark, docs, sf_dir)
     delete_path(spark, before)
     return found

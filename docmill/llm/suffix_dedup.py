@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import cut, delete_path, forget, free, key_bits, marked, scratch_path, slices, small_batches, worker_state
+from docmill.llm.common import cut, delete_path, forget, free, hits, key_bits, marked, scratch_path, slices, small_batches, worker_state
 from docmill.llm.shingles import _powers, mix
 
 #: Bytes by which suffixes are named and first compared.
@@ -202,10 +202,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     repeated_hot = named.where(hot).select("id", "th", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint64)
         for b in batches:
-            h = b.column(5).to_numpy().view(np.uint64)
-            b = b.filter(pa.array(((table[(h >> np.uint64(46)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
+            b = b.filter(pa.array(hits(bits, b.column(5))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_buckets(cuts, b.column(7).to_numpy(), b.column(6).to_numpy()))], names=[*b.schema.names, "bucket"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     free(spark)
     key = F.xxhash64("id", "th")
     met = meet.withColumnsRenamed({"id": "mid", "th": "mth"})
-    texts = marked(rows, key, key_bits(meet, key)).join(met, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"bucket int, id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary, gram long")
+    texts = marked(rows, key, key_bits(meet, key)).join(met.hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("id", "th", "t", "s").mapInArrow(reach_bytes, f"bucket int, id {kind}, th long, lo long, offset int, lead long, times long, hot boolean, x binary, gram long")
 
     placed = cut(texts)
     free(spark)
@@ -405,14 +403,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     key = F.xxhash64(F.col(id_col), F.col("_docmill_own"))
     bits = key_bits(spans, F.xxhash64("id", "th"))  # texts that have no spans need not move
     found = spans.withColumnsRenamed({"id": "_docmill_id", "th": "_docmill_th", "spans": "_docmill_spans"})
-    moved = marked(own, key, bits).join(found, F.col(id_col).eqNullSafe(F.col("_docmill_id")) & (F.col("_docmill_own") == F.col("_docmill_th")), "left")
-    stay = marked(own, key, bits, wanted=False).withColumn("_docmill_spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    moved = marked(own, key, bits).join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_docmill_id")) & (F.col("_docmill_own") == F.col("_docmill_th")), "left")
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strip(batches: Iterator[pa.RecordBatch], spans: bool = True) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, 750_000, keep="powers"):
+            if not spans:
+                b = b.filter(pa.array(~hits(bits, b.column(len(columns)))))
             kept, removed, n_spans, sizes = [], [], [], []
             texts = pc.cast(pc.fill_null(b.column(columns.index(text_col)), ""), pa.binary())
-            for t, each in zip(texts, b.column(len(columns)).to_pylist()):
+            for t, each in zip(texts, b.column(len(columns)).to_pylist() if spans else [None] * b.num_rows):
                 t, out, at, gone, n = t.as_py(), [], 0, 0, len(each or ())
                 for s in each or ():
                     out.append(t[at : s["lo"]])
@@ -426,5 +425,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    every = moved.select(*columns, "_docmill_spans").unionByName(stay.select(*columns, "_docmill_spans"))
-    return every.mapInArrow(strip, schema)
+    # One Python function in a stage at most (the hints keep a shuffle between two): each has a worker of its own, which stays with what later stages load into it.
+    stay = own.select(*columns, key.alias("_docmill_hashed")).mapInArrow(lambda batches: strip(batches, spans=False), schema)
+    return moved.select(*columns, "_docmill_spans").mapInArrow(strip, schema).unionByName(stay)

@@ -8,6 +8,7 @@ import struct
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -183,3 +184,20 @@ def test_language_without_labels_and_with_und_as_one(spark):
     assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [(0, None), (1, None)]
     docs = spark.createDataFrame([(i, t, "und", "s", 1) for i, t in enumerate(texts)], schema)
     assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [(0, "und"), (1, "und")]
+
+
+def test_texts_are_coded_in_small_batches(spark, monkeypatch):
+    def rows_of_batch(docs, *_):
+        def run(batches):
+            for b in batches:
+                n = pa.array([bytes(4 * b.num_rows)] * b.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), n, n], names=["doc_id", "ids", "decoded"])
+
+        return docs.select("doc_id").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+    monkeypatch.setattr(corpus_pipeline, "encode_column", rows_of_batch)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(0, 5_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = [r.n_tokens for r in corpus_pipeline.encode_bytes(spark, docs, "").collect()]
+    assert len(got) == 5_000 and max(got) <= 2_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -1,12 +1,14 @@
 """Removal of repeated strings against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from docmill.llm import suffix_dedup
+from docmill.llm.common import cut
 from docmill.llm.suffix_dedup import multikey_quicksort, remove_repeats
 
 
@@ -116,3 +118,34 @@ def test_one_reach_of_a_third_of_all(spark):
     rows = [(i, line if i % 3 == 0 else "".join(r.choices("abcdefgh ", k=260)) + line + "".join(r.choices("abcdefgh ", k=40))) for i in range(240)] + [(999, " " * 700)]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got.collect()) == _brute(rows, 200)
+
+
+def _nested_python(plan):
+    """Python functions of a plan that run in one stage with another one: a worker more for each task."""
+    above, found = [], 0
+    for line in plan.splitlines():
+        depth = len(re.match(r"[\s:+-]*", line)[0])
+        above = [x for x in above if x[0] < depth]
+        stage = [name for _, name in above]
+        stage = stage[max((i for i, name in enumerate(stage) if "Exchange" in name), default=-1) + 1 :]
+        name = line[depth:].split(" ")[0]
+        found += name == "MapInArrow" and "MapInArrow" in stage
+        above.append((depth, name))
+    return found
+
+
+def test_one_python_function_in_a_stage(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(suffix_dedup, "cut", noted)
+    r = random.Random(14)
+    p, q, x, y = ("".join(r.choices("abcdefgh ", k=300)) for _ in range(4))
+    got = remove_repeats(spark.createDataFrame([(1, x + p), (2, p + y), (3, q), (4, None)], "doc_id long, text string"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum(x.count("MapInArrow") for x in plans) >= 6
+    assert [_nested_python(x) for x in plans] == [0] * len(plans)
+    assert {(g.doc_id, g.n_removed, bytes(g.kept).decode()) for g in got.collect()} == {(1, 300, x), (2, 300, y), (3, 0, q), (4, 0, "")}
