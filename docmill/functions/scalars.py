@@ -120,8 +120,9 @@ def human_size(n) -> Column:
 
 
 def relative_time(ts, now: str) -> Column:
-    """Age in words: just now, hours, days, weeks, else the date."""
-    s = F.timestamp_diff("SECOND", _c(ts).cast("timestamp"), F.lit(now).cast("timestamp"))
+    """Age in words: just now, hours, days, weeks, else the date; whole seconds of both times count, not the fraction between them."""
+    second = lambda c: F.date_trunc("second", c.cast("timestamp"))
+    s = F.timestamp_diff("SECOND", second(_c(ts)), second(F.lit(now)))
     count = lambda n, unit: F.concat(F.floor(s / n).cast("long").cast("string"), F.lit(f" {unit}"))
     return F.when(s < 3600, "just now").when(s < 86_400, count(3600, "hours")).when(s < 604_800, count(86_400, "days")).when(s < 2_592_000, count(604_800, "weeks")).otherwise(F.date_format(_c(ts), "yyyy-MM-dd"))
 
