@@ -69,3 +69,38 @@ def test_keys_open_and_shut(spark):
             if keys & set(r["keys"]) and not keys & set(r.denied):
                 seen[a].add(r.doc_id)
     assert seen == {7: {1, 2, 3, 4}, 8: {1, 2, 5}, 10: {5}}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tiles_and_strips_equal_brute_force(spark, monkeypatch, seed):
+    """Several tiles of questions and strips of chunks, many classes of documents, one vector in a third of the chunks."""
+    questions, chunks = _rows(random.Random(seed), 120, 300)
+    chunks = [(c, [1.0, 1.0, 0.0, 2.0] if v and c % 3 == 0 else v, a and [*a, f"own{c % 70}"], b) for c, v, a, b in chunks]
+    questions = [(q, v, k and [*k, f"own{q % 90}"]) for q, v, k in questions]
+    monkeypatch.setattr(knn, "TILE", 16)
+    monkeypatch.setattr(knn, "STRIP", 40)
+    monkeypatch.setattr(knn, "PAIRS", 50)
+    q = spark.createDataFrame(questions, "question_id long, vector array<double>, keys array<string>")
+    c = spark.createDataFrame(chunks, "chunk_id long, vector array<float>, keys array<string>, denied array<string>")
+    for k, threshold in ((3, None), (5, 0.4)):
+        got = sorted((r.question_id, r.rank, r.chunk_id) for r in knn.nearest(q, c, k, 4, threshold).collect())
+        assert got == [x[:3] for x in _brute(questions, chunks, k, threshold)]
+
+
+def test_memory_of_a_block_is_bounded():
+    """20,000 questions meet 4,000 chunks, each of a class of its own: no table of questions by chunks or classes is made."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    vectors = lambda n: pa.array(list(r.normal(size=(n, 8)).astype(np.float64)), pa.list_(pa.float64()))
+    asked = pa.table({"question_id": pa.array(range(20_000)), "question": vectors(20_000), "vector": vectors(20_000), "keys": pa.array([["company", f"u:{i % 500}"] for i in range(20_000)])})
+    held = pa.table({"chunk_id": pa.array(range(4000)), "vector": vectors(4000), "keys": pa.array([[f"u:{i % 900}", f"r:{i}"] for i in range(4000)]), "denied": pa.array([[]] * 4000, pa.list_(pa.string()))})
+    block = knn._Block(asked, 8, 5, None)
+    tracemalloc.start()
+    block.add(held)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # bytes; a table of questions by chunks has 80e6
