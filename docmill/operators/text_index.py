@@ -15,12 +15,19 @@ by a hash of the term and sorted by it, so a search reads few files.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from docmill.operators.lineage import cut
+from docmill.operators.lineage import cut, small
 
-#: Ids of a cell; folders by term; tasks that write one folder (a frequent term is in all of them).
+#: Ids of a cell; folders by term; tasks that write one folder at least (a frequent term is in all of them).
 CELL, BUCKETS, WRITERS = 1024, 16, 4
+#: Documents whose words are gathered at once.
+TOGETHER = 2000
 #: Cells that are scored first, to learn what the k-th document has.
 FIRST_CELLS = 16
 # Words that are not indexed.
@@ -69,21 +76,119 @@ def _cell(id_: Column) -> Column:
     return F.call_function("div", id_.cast("long"), F.lit(CELL))
 
 
+def stem(word: str) -> str:
+    """singular and bare of one word, as Python."""
+    if word.endswith("s"):
+        if re.search("[^aeiou]ies$", word):
+            word = word[:-3] + "y"
+        elif re.search("(ss|x|ch|sh|zz)es$", word):
+            word = word[:-2]
+        elif re.search("[^su]s$", word) and len(word) > 3:
+            word = word[:-1]
+    if word.endswith("ing") and len(word) > 5 and re.search("[aeiouy].*[a-z]ing$", word):
+        return word[:-3]
+    if word.endswith("ed") and len(word) > 4 and re.search("[aeiouy].*[a-z]ed$", word):
+        return word[:-2]
+    return word
+
+
+_PART = "cell long, term string, ids array<long>, tfs array<int>, ns array<int>, positions array<array<int>>"
+
+
+def _lists(edges: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+
+
+def _gathered(ids: np.ndarray, words: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _PART of some documents, from their words one document after the other; a row of a null term for each cell."""
+    coded = words.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    terms: dict[str, int] = {}
+    number = np.array([terms.setdefault(stem(w), len(terms)) if w and w not in STOP_WORDS else -1 for w in names] or [-1])
+    empty = np.array([not w for w in names] or [True])
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc, word = np.repeat(np.arange(len(ids)), sizes), ~empty[code] if len(code) else np.zeros(0, bool)
+    code, doc = code[word], doc[word]  # positions count all words, but no empty ones
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    kept = number[code] >= 0 if len(code) else np.zeros(0, bool)
+    code, doc, place = number[code[kept]] if len(code) else code, doc[kept], place[kept]
+    n = np.bincount(doc, minlength=len(ids))
+    cell = np.where(ids < 0, -(-ids // CELL), ids // CELL)
+    # by cell and term; documents are in the order of their ids, so that this is the order below
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    cells, cell_no = np.unique(cell, return_inverse=True)
+    order = np.lexsort((place, rank[doc], cell_no[doc] * max(1, len(terms)) + code))
+    code, doc, place = code[order], doc[order], place[order]
+    row = cell_no[doc] * max(1, len(terms)) + code
+    new_row = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    new_post = new_row | np.r_[True, doc[1:] != doc[:-1]] if len(row) else new_row
+    at = np.flatnonzero(new_post)
+    tf = np.diff(np.r_[at, len(row)])
+    edges = np.r_[np.flatnonzero(new_row[at]), len(at)]
+    first = np.flatnonzero(new_row)
+    schema = ["cell", "term", "ids", "tfs", "ns", "positions"]
+    if len(row):
+        positions = _lists(np.r_[at, len(row)], pa.array(place, pa.int32()))
+        yield pa.record_batch([pa.array(cells[cell_no[doc[first]]]), pa.array(list(terms)).take(pa.array(code[first])), _lists(edges, pa.array(ids[doc[at]])), _lists(edges, pa.array(tf, pa.int32())), _lists(edges, pa.array(n[doc[at]], pa.int32())), _lists(edges, positions)], schema)
+    order = np.lexsort((ids, cell_no))
+    edges = np.r_[np.searchsorted(cell_no[order], np.arange(len(cells))), len(ids)]
+    none = _lists(np.zeros(len(ids) + 1, np.int32), pa.array([], pa.int32()))
+    yield pa.record_batch([pa.array(cells), pa.nulls(len(cells), pa.string()), _lists(edges, pa.array(ids[order])), _lists(edges, pa.array(np.zeros(len(ids)), pa.int32())), _lists(edges, pa.array(n[order], pa.int32())), _lists(edges, none)], schema)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, TOGETHER):
+            part = b.slice(lo, TOGETHER)
+            words, ids = part.column("words"), part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.asarray(words.value_lengths().fill_null(0))
+            yield from _gathered(ids, words.flatten(), sizes)
+
+
 def _postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(cell, term, id, tf, n, positions)``, and a row of a null term for each document."""
-    by = analysed(docs, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    kept = F.filter(_words(text_col), lambda w: ~w.isin(*STOP_WORDS))
-    n = docs.select(F.col(id_col).alias("id"), F.greatest(F.size(kept), F.lit(0)).alias("n")).where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = by.join(n, "id").select(_cell(F.col("id")).alias("cell"), "term", "id", "tf", "n", "positions")
-    none = F.array().cast("array<int>").alias("positions")
-    return rows.unionByName(n.select(_cell(F.col("id")).alias("cell"), F.lit(None).cast("string").alias("term"), "id", F.lit(0).cast("long").alias("tf"), "n", none))
+    """Rows of _PART: what each task has of a term in a cell, gathered before anything moves, and a row of a null term for each cell; an id has one document."""
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.split(F.lower(F.col(text_col)), "[^a-z0-9]+").alias("words"))
+    return every.mapInArrow(_gather, _PART)
 
 
-def _rows(postings: DataFrame) -> DataFrame:
-    """One row for each term and cell: its postings by id, and what bounds their scores. At most CELL documents stand in one."""
-    held = F.array_sort(F.collect_list(F.struct("id", "tf", "n", "positions")))
-    rows = postings.groupBy("cell", "term").agg(held.alias("postings"), F.count("*").alias("docs"), F.sum("n").alias("words"), F.max("tf").alias("most_tf"), F.min("n").alias("least_n"))
-    return rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))))
+def _merged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of _PART for ids of several texts, whose words are those of one document."""
+    by = analysed(docs, id_col, text_col).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    kept = F.filter(_words(text_col), lambda w: ~w.isin(*STOP_WORDS))
+    n = docs.select(F.col(id_col).alias("id"), F.greatest(F.size(kept), F.lit(0)).alias("n")).groupBy("id").agg(F.sum("n").cast("int").alias("n"))
+    rows = by.join(n, "id").select("id", "term", "tf", "n", "positions")
+    rows = rows.unionByName(n.select("id", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), "n", F.array().cast("array<int>").alias("positions")))
+    return rows.select(_cell(F.col("id")).alias("cell"), "term", F.array(F.col("id").cast("long")).alias("ids"), F.array("tf").alias("tfs"), F.array("n").alias("ns"), F.array("positions").alias("positions"))
+
+
+def _rows(parts: DataFrame, kind: str) -> DataFrame:
+    """One row for each term and cell: its postings by id (of that type), and what bounds their scores. At most CELL documents stand in one.
+
+    Rows move once, to the tasks that write them; writers: tasks for a folder.
+    """
+    writers = max(WRITERS, -(-int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
+    parts = parts.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term")))).withColumn("_writer", F.pmod(F.xxhash64("term", "cell"), F.lit(writers)).cast("int"))
+    dealt = parts.repartition(2 * BUCKETS * writers, "bucket", "_writer")
+    held = dealt.groupBy("bucket", "_writer", "cell", "term").agg(F.collect_list(F.struct("ids", "tfs", "ns", "positions")).alias("_parts"))
+    lists = [F.flatten(F.col("_parts").getField(c)) for c in ("ids", "tfs", "ns", "positions")]
+    zipped = F.transform(F.arrays_zip(*[x.alias(c) for x, c in zip(lists, ("id", "tf", "n", "positions"))]), lambda p: F.struct(p["id"].cast(kind).alias("id"), p["tf"].cast("long").alias("tf"), p["n"].cast("long").alias("n"), p["positions"].alias("positions")))
+    rows = held.select("bucket", "cell", "term", F.array_sort(zipped).alias("postings"))
+    words = F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p.n)
+    return rows.select("cell", "term", "postings", F.size("postings").cast("long").alias("docs"), words.alias("words"), F.array_max(F.transform("postings", lambda p: p.tf)).alias("most_tf"), F.array_min(F.transform("postings", lambda p: p.n)).alias("least_n"), "bucket")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows ``(cell, term, postings)`` as rows of _PART without the ids of gone, which are looked up as bits of their cells."""
+    bit = lambda id_, cell: id_.cast("long") - cell * CELL + (CELL - 1)  # noqa: E731  # cell 0 has negative ids too
+    at = gone.select(_cell(F.col("id")).alias("cell"), bit(F.col("id"), _cell(F.col("id"))).alias("_bit"))
+    bits = at.groupBy("cell", (F.col("_bit") / 32).cast("int").alias("_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % 32).cast("int"))).alias("_bits"))
+    bits = bits.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_bits"))).alias("_gone"))
+    off = lambda p: bit(p.id, F.col("cell"))
+    kept = F.filter("postings", lambda p: F.getbit(F.coalesce(F.try_element_at("_gone", (off(p) / 32).cast("int")), F.lit(0).cast("long")), (off(p) % 32).cast("int")) == 0)
+    rows = rows.join(small(bits), "cell").select("cell", "term", kept.alias("postings")).where(F.size("postings") > 0)
+    of = lambda name, kind: F.transform("postings", lambda p: p[name].cast(kind)).alias(name if name == "positions" else f"{name}s")
+    return rows.select("cell", "term", of("id", "long"), of("tf", "int"), of("n", "int"), of("positions", "array<int>"))
 
 
 class TextIndex:
@@ -105,8 +210,7 @@ class TextIndex:
     def _write(self, rows: DataFrame, cells: DataFrame, number: int) -> None:
         """Writes a segment; the list of its cells last, which makes it whole."""
         at = f"{self.path}/segment={number}"
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("term", "cell"), F.lit(WRITERS))).sortWithinPartitions("bucket", "term", "cell")
-        dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{at}/postings")
+        rows.sortWithinPartitions("bucket", "term", "cell").write.partitionBy("bucket").mode("overwrite").parquet(f"{at}/postings")
         cells.write.mode("overwrite").parquet(f"{at}/cells")
 
     def _owners(self) -> DataFrame | None:
@@ -168,20 +272,24 @@ class TextIndex:
             gone = gone.unionByName(deleted.select(F.col(deleted.columns[0]).alias("id")).where("id is not null"))
         gone = gone.distinct()
         cells = cut(gone.select(_cell(F.col("id")).alias("cell")).distinct())
-        postings = _postings(docs, id_col, text_col)
+        key = F.col(id_col)
+        several = cut(docs.groupBy(key.alias("id")).count().where("count > 1").select("id"))
+        if several.isEmpty():
+            parts = _postings(docs, id_col, text_col)
+        else:
+            held = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+            parts = _postings(held.join(small(several), "id", "left_anti"), "id", "text").unionByName(_merged(held.join(small(several), "id", "left_semi"), "id", "text"))
         if numbers:
-            old = self.rows(columns=["postings"]).join(cells, "cell", "left_semi").select("cell", "term", F.explode("postings").alias("p"))
-            old = old.select("cell", "term", "p.id", "p.tf", "p.n", "p.positions").join(gone, "id", "left_anti")
-            postings = postings.unionByName(old.select(*postings.columns))
+            parts = parts.unionByName(_without(self.rows(columns=["postings"]), gone))
         number = (numbers[-1] if numbers else -1) + 1
-        self._write(_rows(postings), cells, number)
+        self._write(_rows(parts, docs.schema[id_col].dataType.simpleString()), cells, number)
         return number
 
     def compact(self) -> int:
         """Writes all rows that count as one segment that owns every cell; older segments stay for readers that have begun."""
         rows = self.rows()
         number = self._segments()[-1] + 1
-        self._write(rows, rows.select("cell").distinct(), number)
+        self._write(rows.repartition("bucket", F.pmod(F.xxhash64("term", "cell"), F.lit(WRITERS))), rows.select("cell").distinct(), number)
         return number
 
     def all_of(self, text: str) -> DataFrame:
