@@ -92,11 +92,41 @@ def stem(word: str) -> str:
     return word
 
 
-_PART = "cell long, term string, ids array<long>, tfs array<int>, ns array<int>, positions array<array<int>>"
-
-
-def _lists(edges: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+#: A term's postings in a cell as one array, which is small when it moves: how many, their ids less the cell's first, where
+#: their positions begin and (once more) end, lengths of their documents, positions.
+_PART = "cell long, term string, data array<int>"
+
+
+def _packed(cells: np.ndarray, terms: pa.Array, edges: np.ndarray, ids: np.ndarray, n: np.ndarray, tf: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
+    """Rows of _PART: the r-th has the postings from edges[r] on, and their positions stand in order."""
+    many = np.diff(edges)
+    ends = np.r_[0, np.cumsum(tf)]
+    lengths = 2 + 3 * many + ends[edges[1:]] - ends[edges[:-1]]
+    begin = np.r_[0, np.cumsum(lengths)]
+    out = np.empty(begin[-1], np.int32)
+    row = np.repeat(np.arange(len(many)), many)
+    at = begin[row] + 1 + np.arange(len(row)) - edges[row]
+    out[begin[:-1]] = many
+    out[at] = ids - cells[row] * CELL
+    out[at + many[row]] = ends[:-1] - ends[edges[row]]
+    out[begin[:-1] + 1 + 2 * many] = ends[edges[1:]] - ends[edges[:-1]]
+    out[at + 2 * many[row] + 1] = n
+    word = np.repeat(row, tf)
+    out[begin[word] + 2 + 3 * many[word] + np.arange(len(word)) - ends[edges[word]]] = positions
+    return pa.record_batch([pa.array(cells), terms, pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(out))], ["cell", "term", "data"])
+
+
+def _unpacked(data: Column, cell: Column, kind: str) -> Column:
+    """The postings of an array of _PART, ids as that type."""
+    many = F.get(data, F.lit(0))
+
+    def posting(i: Column) -> Column:
+        start = F.get(data, 1 + many + i)
+        tf = F.get(data, 2 + many + i) - start
+        id_ = F.get(data, 1 + i) + cell * CELL
+        return F.struct(id_.cast(kind).alias("id"), tf.cast("long").alias("tf"), F.get(data, 2 + 2 * many + i).cast("long").alias("n"), F.slice(data, 3 + 3 * many + start, tf).alias("positions"))
+
+    return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), posting)).otherwise(F.array().cast(f"array<struct<id:{kind},tf:bigint,n:bigint,positions:array<int>>>"))
 
 
 def _gathered(ids: np.ndarray, words: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -127,14 +157,11 @@ def _gathered(ids: np.ndarray, words: pa.Array, sizes: np.ndarray) -> Iterator[p
     tf = np.diff(np.r_[at, len(row)])
     edges = np.r_[np.flatnonzero(new_row[at]), len(at)]
     first = np.flatnonzero(new_row)
-    schema = ["cell", "term", "ids", "tfs", "ns", "positions"]
     if len(row):
-        positions = _lists(np.r_[at, len(row)], pa.array(place, pa.int32()))
-        yield pa.record_batch([pa.array(cells[cell_no[doc[first]]]), pa.array(list(terms)).take(pa.array(code[first])), _lists(edges, pa.array(ids[doc[at]])), _lists(edges, pa.array(tf, pa.int32())), _lists(edges, pa.array(n[doc[at]], pa.int32())), _lists(edges, positions)], schema)
+        yield _packed(cells[cell_no[doc[first]]], pa.array(list(terms)).take(pa.array(code[first])), edges, ids[doc[at]], n[doc[at]], tf, place)
     order = np.lexsort((ids, cell_no))
     edges = np.r_[np.searchsorted(cell_no[order], np.arange(len(cells))), len(ids)]
-    none = _lists(np.zeros(len(ids) + 1, np.int32), pa.array([], pa.int32()))
-    yield pa.record_batch([pa.array(cells), pa.nulls(len(cells), pa.string()), _lists(edges, pa.array(ids[order])), _lists(edges, pa.array(np.zeros(len(ids)), pa.int32())), _lists(edges, pa.array(n[order], pa.int32())), _lists(edges, none)], schema)
+    yield _packed(cells, pa.nulls(len(cells), pa.string()), edges, ids[order], n[order], np.zeros(len(ids), np.int64), np.zeros(0, np.int64))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +186,16 @@ def _merged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = docs.select(F.col(id_col).alias("id"), F.greatest(F.size(kept), F.lit(0)).alias("n")).groupBy("id").agg(F.sum("n").cast("int").alias("n"))
     rows = by.join(n, "id").select("id", "term", "tf", "n", "positions")
     rows = rows.unionByName(n.select("id", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), "n", F.array().cast("array<int>").alias("positions")))
-    return rows.select(_cell(F.col("id")).alias("cell"), "term", F.array(F.col("id").cast("long")).alias("ids"), F.array("tf").alias("tfs"), F.array("n").alias("ns"), F.array("positions").alias("positions"))
+    return _parts(rows.select(_cell(F.col("id")).alias("cell"), "term", F.array(F.struct("id", "tf", "n", "positions")).alias("postings")))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows ``(cell, term, postings)`` as rows of _PART."""
+    p = F.col("postings")
+    every = lambda of: F.transform(p, lambda x: of(x).cast("int"))
+    ends = F.aggregate(every(lambda x: x.tf), F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+    data = F.concat(F.array(F.size(p)), every(lambda x: x.id.cast("long") - F.col("cell") * CELL), ends, every(lambda x: x.n), F.flatten(F.transform(p, lambda x: x.positions)).cast("array<int>"))
+    return rows.select("cell", "term", data.alias("data"))
 
 
 def _rows(parts: DataFrame, kind: str) -> DataFrame:
@@ -168,12 +204,11 @@ def _rows(parts: DataFrame, kind: str) -> DataFrame:
     Rows move once, to the tasks that write them; writers: tasks for a folder.
     """
     writers = max(WRITERS, -(-int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
-    parts = parts.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term")))).withColumn("_writer", F.pmod(F.xxhash64("term", "cell"), F.lit(writers)).cast("int"))
-    dealt = parts.repartition(2 * BUCKETS * writers, "bucket", "_writer")
-    held = dealt.groupBy("bucket", "_writer", "cell", "term").agg(F.collect_list(F.struct("ids", "tfs", "ns", "positions")).alias("_parts"))
-    lists = [F.flatten(F.col("_parts").getField(c)) for c in ("ids", "tfs", "ns", "positions")]
-    zipped = F.transform(F.arrays_zip(*[x.alias(c) for x, c in zip(lists, ("id", "tf", "n", "positions"))]), lambda p: F.struct(p["id"].cast(kind).alias("id"), p["tf"].cast("long").alias("tf"), p["n"].cast("long").alias("n"), p["positions"].alias("positions")))
-    rows = held.select("bucket", "cell", "term", F.array_sort(zipped).alias("postings"))
+    bucket = F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term")))
+    parts = parts.withColumn("_writer", (bucket * writers + F.pmod(F.xxhash64("term", "cell"), F.lit(writers))).cast("int"))
+    held = parts.repartition(2 * BUCKETS * writers, "_writer").groupBy("_writer", "cell", "term").agg(F.collect_list("data").alias("_parts"))
+    every = F.flatten(F.transform("_parts", lambda x: _unpacked(x, F.col("cell"), kind)))
+    rows = held.select(bucket.alias("bucket"), "cell", "term", F.array_sort(every).alias("postings"))
     words = F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p.n)
     return rows.select("cell", "term", "postings", F.size("postings").cast("long").alias("docs"), words.alias("words"), F.array_max(F.transform("postings", lambda p: p.tf)).alias("most_tf"), F.array_min(F.transform("postings", lambda p: p.n)).alias("least_n"), "bucket")
 
@@ -187,8 +222,7 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     off = lambda p: bit(p.id, F.col("cell"))
     kept = F.filter("postings", lambda p: F.getbit(F.coalesce(F.try_element_at("_gone", (off(p) / 32).cast("int")), F.lit(0).cast("long")), (off(p) % 32).cast("int")) == 0)
     rows = rows.join(small(bits), "cell").select("cell", "term", kept.alias("postings")).where(F.size("postings") > 0)
-    of = lambda name, kind: F.transform("postings", lambda p: p[name].cast(kind)).alias(name if name == "positions" else f"{name}s")
-    return rows.select("cell", "term", of("id", "long"), of("tf", "int"), of("n", "int"), of("positions", "array<int>"))
+    return _parts(rows)
 
 
 class TextIndex:

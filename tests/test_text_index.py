@@ -107,3 +107,31 @@ def test_a_search_reads_few_files_and_cells(spark, tmp_path):
     best = index.bm25("rare", 1, first_cells=1).collect()
     assert best[0].id == 15_000 and len(bounds) == 20
     assert sum(b >= best[0].score - 1e-9 for b in bounds.values()) == 1  # all other cells are ruled out
+
+
+def test_words_are_gathered_before_they_move(spark, tmp_path):
+    """Stems are those of the query side; what a word's postings need when they move is a few numbers."""
+    import random
+
+    from docmill.operators import text_index as T
+
+    r = random.Random(5)
+    ends = ["", "s", "es", "ies", "ing", "ed", "sses", "xes", "ches", "zzes", "uss", "eed", "ings", "eds", "oies"]
+    words = sorted({"".join(r.choice("abcehinoqstuyz19") for _ in range(r.randrange(0, 5))) + e for e in ends for _ in range(60)} - {""})
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {x.w: x.s for x in rows.withColumn("x", T.singular(F.col("w"))).select("w", T.bare(F.col("x")).alias("s")).collect()} == {w: T.stem(w) for w in words}
+    docs = [(i, " ".join(r.choice(words[:60]) for _ in range(r.randrange(0, 30)))) for i in range(-1500, 3000, 7)] + [(5000, None), (5001, ""), (5002, ". , "), (14, "alpha beta"), (14, "beta gamma")]
+    frame = spark.createDataFrame(docs, "id long, text string")
+    want = {}
+    for x in T.analysed(frame, "id", "text").collect():
+        want.setdefault((x.id, x.term), []).append(x.position)
+    index = T.TextIndex(spark, str(tmp_path / "index"))
+    index.add(frame.where("id % 2 = 0"), "id", "text")
+    index.add(frame.where("id % 2 <> 0"), "id", "text", spark.createDataFrame([(-1496,), (2704,)], "id long"))
+    gone = {-1496, 2704}
+    got = {(p.id, x.term): list(p.positions) for x in index.rows().where("term is not null").collect() for p in x.postings}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if k[0] not in gone}
+    lengths = {p.id: p.n for x in index.documents().collect() for p in x.postings}
+    assert lengths == {i: sum(len(v) for (j, _), v in want.items() if j == i) for i in {i for i, _ in docs} - gone}
+    plan = T._rows(T._postings(frame, "id", "text"), "bigint")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
